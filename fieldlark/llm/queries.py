@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldlark.llm import bestfit_pack, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_output, topk_exact
+from fieldlark.llm import bestfit_pack, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_output, topk_exact
 from fieldlark.llm.common import table
 
 SHARDS = 16
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op4_exact_top_k, op6_sharding, op7_sentencepiece, op9_simhash_near_dedup, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_exact_top_k, op6_sharding, op7_sentencepiece, op9_simhash_near_dedup, op10_token_output)}
 
 ORACLES: dict[str, str] = {}
