@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldlark.llm import bestfit_pack, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_output, topk_exact
+from fieldlark.llm import bestfit_pack, html_extract, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_output, topk_exact, url_filter
 from fieldlark.llm.common import table
 
 SHARDS = 16
@@ -26,6 +26,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_exact.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.digest(table(spark, sf_dir, "documents"))
     placed = sharding.shuffle_into_shards(rows, "doc_id", SHARDS)
@@ -36,6 +40,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,35 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_exact_top_k, op6_sharding, op7_sentencepiece, op9_simhash_near_dedup, op10_token_output)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_secret_scans,
+        op3_best_fit_packing,
+        op4_exact_top_k,
+        op5_url_filter,
+        op6_sharding,
+        op7_sentencepiece,
+        op8_html_extraction,
+        op9_simhash_near_dedup,
+        op10_token_output,
+    )
+}
+
+#: Learned models, packing, fingerprints and random placement are beyond SQL;
+#: exact top-k is not.
+ORACLES: dict[str, str] = {
+    "op4_exact_top_k": """
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM e AS q, e AS c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
