@@ -1,0 +1 @@
+"""Sensor and plant telemetry analytics on Spark."""
