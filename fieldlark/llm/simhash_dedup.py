@@ -226,7 +226,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).where("doc_id = component_id")
     ids = kept(found.groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    out = docs.join(ids, "doc_id", "left").where("_rows is not null or doc_id is null")
+    # The ids grow with the rows: never broadcast, small or large.
+    out = docs.join(ids.hint("merge"), "doc_id", "left").where("_rows is not null or doc_id is null")
     once = out.where("_rows is null or _rows = 1")
     if ids.where("_rows > 1").isEmpty():
         return once.select(docs.columns)
