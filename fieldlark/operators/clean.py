@@ -79,7 +79,12 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    return df.na.drop("all")
+    """Rows that are null, or NaN, in every column go."""
+    there = F.lit(False)
+    for c, t in df.dtypes:
+        col = F.col(f"`{c}`")
+        there = there | (col.isNotNull() & ~F.isnan(col) if t in ("double", "float") else col.isNotNull())
+    return df.where(there)
 
 
 def clean_air_quality(df: DataFrame, date: str = "Date", time: str = "Time") -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 NAME = re.compile(r"^--\s*name:\s*(\S+)\s*$", re.MULTILINE)
 NAMED = Path(__file__).with_name("named.sql")
+#: What the named queries ask of a mote log.
+ARGUMENTS = {"a_hourly_avg_temperature": {"variable": "temperature"}, "c_rolling_1h_voltage": {"variable": "voltage"}}
+PLAUSIBLE = (("temperature", 0.0, 50.0), ("humidity", 0.0, 100.0), ("light", 0.0, 2000.0), ("voltage", 2.0, 3.0))
 
 
 def blocks(body: str) -> dict[str, str]:
@@ -23,11 +26,15 @@ def named(name: str, path: Path = NAMED) -> str:
     return blocks(path.read_text())[name]
 
 
-def run(spark: SparkSession, name: str, views: dict[str, DataFrame], path: Path = NAMED) -> DataFrame:
-    """The named query over ``views``."""
+def run(spark: SparkSession, name: str, views: dict[str, DataFrame], path: Path = NAMED, **arguments: object) -> DataFrame:
+    """The named query over ``views``; PLAUSIBLE and ARGUMENTS stand in for what is not given."""
+    if "bounds" not in views:
+        views = views | {"bounds": spark.createDataFrame(PLAUSIBLE, "variable string, low double, high double")}
     for n, df in views.items():
         df.createOrReplaceTempView(n)
-    return spark.sql(named(name, path))
+    sql = named(name, path)
+    wanted = ARGUMENTS.get(name, {}) | arguments
+    return spark.sql(sql, args=wanted) if wanted else spark.sql(sql)
 
 
 def bench(df: Callable[[], DataFrame], repeats: int = 5) -> float:

@@ -1,4 +1,4 @@
--- The four questions of the sensor database, over views readings and sensors.
+-- The four questions of the sensor database, over views readings, sensors and bounds.
 
 -- name: a_hourly_avg_temperature
 SELECT sensor_id,
@@ -6,7 +6,7 @@ SELECT sensor_id,
        count(*) AS n,
        floor(avg(value) * 100D + 0.5D) / 100D AS avg_value
 FROM readings
-WHERE variable = 'view'
+WHERE variable = :variable
 GROUP BY ALL
 ORDER BY sensor_id, hour;
 
@@ -23,13 +23,13 @@ FROM sensors AS s LEFT JOIN got ON s.sensor_id = got.sensor_id CROSS JOIN span
 ORDER BY missing DESC, sensor_id
 LIMIT 5;
 
--- name: c_rolling_1h
-SELECT event_id,
-       sensor_id,
+-- name: c_rolling_1h_voltage
+SELECT sensor_id,
+       ts,
        floor(avg(value) OVER w * 10000D + 0.5D) / 10000D AS avg_1h,
        count(*) OVER w AS n_in_window
 FROM readings
-WHERE variable = 'view'
+WHERE variable = :variable
 WINDOW w AS (PARTITION BY sensor_id ORDER BY CAST(ts AS TIMESTAMP) RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW);
 
 -- name: d_outside_plausible_range
@@ -38,10 +38,7 @@ SELECT variable,
        count(DISTINCT sensor_id) AS n_sensors,
        min(value) AS lowest,
        max(value) AS highest
-FROM readings
-WHERE (variable = 'click' AND value NOT BETWEEN 0 AND 150)
-   OR (variable = 'view' AND value NOT BETWEEN 0 AND 120)
-   OR (variable = 'signup' AND value NOT BETWEEN 1 AND 400)
-   OR (variable = 'purchase' AND value NOT BETWEEN 0.5 AND 90)
+FROM readings JOIN bounds USING (variable)
+WHERE value NOT BETWEEN low AND high
 GROUP BY variable
 ORDER BY n_rows DESC, variable;

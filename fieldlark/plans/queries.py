@@ -63,7 +63,7 @@ def agg01_hourly_avg(spark, sf):
 
 @query(HOURLY)
 def agg02_group_by_all(spark, sf):
-    return catalog.run(spark, "a_hourly_avg_temperature", {"readings": i.readings(spark, sf)})
+    return catalog.run(spark, "a_hourly_avg_temperature", {"readings": i.readings(spark, sf)}, variable="view")
 
 
 MISSING = (
@@ -108,9 +108,9 @@ def win01_rolling_1h(spark, sf):
     return out.select("event_id", "sensor_id", rounded(F.col("a"), 4).alias("avg_1h"), "n_in_window")
 
 
-@query(ROLLING)
+@query(f"SELECT e.ts, r.* EXCLUDE (event_id) FROM ({ROLLING}) AS r JOIN events AS e USING (event_id)")
 def sql_c_rolling_1h(spark, sf):
-    return catalog.run(spark, "c_rolling_1h", {"readings": i.readings(spark, sf)})
+    return catalog.run(spark, "c_rolling_1h_voltage", {"readings": i.readings(spark, sf)}, variable="view")
 
 
 @query(f"SELECT min(n) AS least, max(n) AS most FROM (SELECT n_in_window AS n FROM ({ROLLING}))")
@@ -128,7 +128,7 @@ def agg06_out_of_range(spark, sf):
 
 @query(OUTSIDE)
 def sql_d_out_of_range(spark, sf):
-    return catalog.run(spark, "d_outside_plausible_range", {"readings": i.readings(spark, sf)})
+    return catalog.run(spark, "d_outside_plausible_range", {"readings": i.readings(spark, sf), "bounds": i.bounds(spark)})
 
 
 @query("SELECT user_id AS sensor_id, avg(value) AS mean FROM events WHERE event_type = 'view' GROUP BY 1".replace("avg(value)", _r("avg(value)", 6)))

@@ -1,0 +1,204 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from fieldlark.operators import aggregates as agg, calibrate as cal, clean, lateness, series, sets, validate as val
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rng = np.random.default_rng(0)
+    x = pd.DataFrame({"key": rng.integers(0, 3, 400), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 3 * 86400, 400), unit="s"), "v": rng.normal(size=400)})
+    x.loc[::7, "v"] = np.nan
+    x["id"] = range(len(x))
+    return x, spark.createDataFrame(x).withColumn("v", F.nanvl("v", F.lit(None)))
+
+
+@pytest.mark.parametrize("chunk", [86_400, 3600, 1800])
+def test_trailing_window(points, chunk):
+    x, df = points
+    got = series.trailing_window(df, "key", "ts", 3600, {"n": F.count("*"), "m": F.avg("v")}, chunk).toPandas().set_index("id")
+    assert len(got) == len(x)
+    for r in x.itertuples():
+        own = x[(x.key == r.key) & (x.ts >= r.ts - pd.Timedelta(hours=1)) & (x.ts <= r.ts)]
+        assert got.loc[r.id, "n"] == len(own)
+        want = own.v.mean()
+        assert (pd.isna(want) and pd.isna(got.loc[r.id, "m"])) or abs(got.loc[r.id, "m"] - want) < 1e-12
+
+
+@pytest.mark.parametrize("block", ["HOUR", "DAY", "MINUTE"])
+def test_running_max(points, block):
+    x, df = points
+    got = series.running_max(df.select("id", "ts", "v"), "ts", "v", "top", True, block).toPandas().set_index("id")["top"]
+    front = x.groupby("ts").v.max().sort_index().cummax().ffill().shift()
+    for r in x.itertuples():
+        a, b = got[r.id], front[r.ts]
+        assert (pd.isna(a) and pd.isna(b)) or a == b
+
+
+def test_forward_fill(spark):
+    at = pd.date_range("2024-01-01", periods=200, freq="47min")
+    rng = np.random.default_rng(1)
+    x = pd.DataFrame({"tag": ["a"] * 200 + ["b"] * 200, "ts": [*at, *at], "v": np.where(rng.random(400) < 0.15, rng.normal(size=400), np.nan)})
+    df = spark.createDataFrame(x).withColumn("v", F.nanvl("v", F.lit(None)))
+    got = series.forward_fill(df, "tag", "ts", "v").orderBy("tag", "ts").toPandas()
+    want = x.sort_values(["tag", "ts"]).groupby("tag").v.ffill()
+    assert np.array_equal(got["v"].to_numpy(float), want.to_numpy(), equal_nan=True)
+    assert got["was_empty"].tolist() == x.sort_values(["tag", "ts"]).v.isna().tolist()
+
+
+def test_grid_and_pivot(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", t0, 1.0), ("b", t0 + dt.timedelta(minutes=6), 2.0), ("a", t0 + dt.timedelta(minutes=4), 9.0)], "tag string, ts timestamp, v double")
+    cells = series.on_grid(df, "tag", "ts", "v", df, "3 minutes")
+    got = {(r["tag"], r["ts"].minute): r["v"] for r in cells.collect()}
+    assert got == {("a", 0): 1.0, ("a", 3): None, ("a", 6): None, ("b", 0): None, ("b", 3): None, ("b", 6): 2.0}
+    wide = series.wide(cells, "ts", "tag", "v", ["b", "a", "c"])
+    assert wide.columns == ["ts", "b", "a", "c"] and wide.count() == 3
+    assert series.grid(df.limit(0), "ts", "3 minutes").collect() == []
+    filled = series.forward_fill(cells, "tag", "ts", "v")
+    assert {r["tag"]: r["empty"] for r in agg.hole_counts(filled, ["tag"]).collect()} == {"a": 2, "b": 2}
+    assert tuple(agg.complete_rows(filled, "ts").first()) == (3, 0)
+
+
+def test_empty_windows_are_there(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0,), (t0 + dt.timedelta(hours=2),)], "ts timestamp")
+    w = series.tumbling(df, "ts", "30 minutes", {"n": F.count("*")})
+    assert w.count() == 2
+    assert [r["n"] for r in series.with_empty_windows(w, "30 minutes").orderBy("bucket").collect()] == [1, None, None, None, 1]
+
+
+def test_trapezoid(spark):
+    h = [0, 1, 3, 4, 10]
+    v = [1.0, 2.0, None, 4.0, 0.5]
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + dt.timedelta(hours=a), b) for a, b in zip(h, v)], "ts timestamp, v double")
+    keep = [(a, b) for a, b in zip(h, v) if b is not None]
+    want = sum((b + d) / 2 * (c - a) for (a, b), (c, d) in zip(keep, keep[1:]))
+    assert abs(series.trapezoid(df, "ts", "v").first()["area"] - want) < 1e-9
+
+
+def test_quarantine(spark):
+    rows = [("Good", 5.0, 0.0, 10.0), ("Good", None, 0.0, 10.0), ("Good", 10.0, 0.0, 10.0), ("Good", 10.1, 0.0, 10.0), ("Bad", 99.0, 0.0, 10.0), (None, 1.0, 0.0, 10.0), ("Good", 1.0, None, None)]
+    kept, bad = clean.quarantine(spark.createDataFrame(rows, "status string, value double, low double, high double"))
+    assert kept.count() == 3
+    assert sorted(r["reason"] for r in bad.collect()) == ["no range for its unit", "outside the range for its unit", "the device flagged it: Bad", "the device flagged it: no status"]
+
+
+def test_keep_first(spark):
+    df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 2, None), (2, 9, "z")], "k int, n int, v string")
+    assert sorted(tuple(r) for r in clean.keep_first(df, ["k"], ["n"]).collect()) == [(1, 1, "a"), (2, 9, "z")]
+
+
+def test_lateness_against_model(spark):
+    rng = np.random.default_rng(2)
+    x = pd.DataFrame({"id": range(300), "event_time": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 20_000, 300), unit="s")})
+    x["received_at"] = (x["event_time"] + pd.to_timedelta(rng.integers(0, 9000, 300), unit="s")).dt.floor("60s") + pd.Timedelta(hours=3)
+    front = x.groupby("received_at").event_time.max().sort_index().cummax().shift()
+    x["late"] = ((x.received_at.map(front) - x.event_time).dt.total_seconds() / 60).clip(lower=0)
+    df = lateness.with_lateness(spark.createDataFrame(x[["id", "event_time", "received_at"]]))
+    got = df.toPandas().set_index("id")["lateness_min"].sort_index()
+    assert np.allclose(got.to_numpy(float), x["late"].to_numpy(), equal_nan=True)
+    sweep = {r["allowance_plant_min"]: r["dropped_as_late"] for r in lateness.allowance_sweep(df, 60.0).collect()}
+    assert sweep == {a: int((x["late"] > a).sum()) for a in lateness.ALLOWANCES}
+
+
+def test_gate(spark):
+    schema = val.Schema({"a": "bigint", "s": "string"}, frozenset({"s"}), (val.isin("s", {"x", "y"}), val.in_range("a", 0, 9)), ("a",))
+    good = spark.createDataFrame([(1, "x"), (2, None)], "a long, s string")
+    assert val.gate(good, schema).count() == 2 and val.gate(good, schema, lazy=True).count() == 2
+    bad = spark.createDataFrame([(1, "x"), (1, "q"), (None, "y"), (12, "x")], "a long, s string")
+    counts = {r["check"]: r["n"] for r in val.failure_counts(bad, schema).collect()}
+    assert counts == {"not_null(a)": 1, "isin(s)": 1, "in_range(a)": 1, "unique(a)": 2}
+    with pytest.raises(val.SchemaError):
+        val.gate(bad, schema)
+    with pytest.raises(val.SchemaError, match="unique"):
+        val.gate(bad, schema, lazy=True)
+    with pytest.raises(val.SchemaError, match="not declared"):
+        val.gate(good.withColumn("z", F.lit(1)), schema)
+    with pytest.raises(val.SchemaError, match="missing column s"):
+        val.gate(good.drop("s"), schema)
+
+
+def test_contract_schema_needs_ranges(spark):
+    contract = spark.createDataFrame([("a", "kW"), ("b", "furlong")], "tag string, unit string")
+    with pytest.raises(val.SchemaError, match="furlong"):
+        val.contract_schema({}, contract, {"kW": (0, 1)}, {"Good"})
+
+
+def test_references(spark):
+    child = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    parent = spark.createDataFrame([(1,), (3,)], "id int")
+    assert [r[0] for r in val.orphans(child, parent, "k", "id").collect()] == [2, 2]
+    assert [r[0] for r in val.referring(child, parent, "k", "id").collect()] == [1]
+    assert tuple(val.key_report(child.na.drop(), ["k"]).first()) == (3, 2, 1)
+
+
+def test_sets(spark):
+    a, b = (spark.createDataFrame([(x,) for x in v], "x int") for v in ([1, 2, 2, 3], [3, 4]))
+    assert [r[0] for r in sets.difference(a, b).collect()] == [1, 2]
+    assert [r[0] for r in sets.intersection(a, b).collect()] == [3]
+    assert tuple(sets.comparison(a, b).first()) == (2, 1, 1, False) and sets.comparison(a, a).first()["equal"]
+    with pytest.raises(ValueError, match="no range"):
+        sets.require_none(sets.difference(a, b), "no range")
+    sets.require_none(a.limit(0), "fine")
+
+
+def test_describe_and_gap(spark):
+    v = [1.0, 2.0, 4.0, 8.0, 9.0, None]
+    got = agg.describe(spark.createDataFrame([(x,) for x in v], "v double"), "v").first()
+    want = pd.Series(v).describe()
+    for name, other in zip(got.asDict(), ("count", "mean", "std", "min", "25%", "50%", "75%", "max")):
+        assert abs(got[name] - want[other]) < 1e-6
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, m double")
+    b = spark.createDataFrame([(1, 1.5), (2, 1.9), (3, 0.0)], "k int, m double")
+    assert tuple(agg.largest_gap(a, b, "k", "m").first()) == (2, 0.5)
+    assert [r["k"] for r in agg.both_ends(b, 1, "k").collect()] == [1, 3]
+
+
+def test_sizes_and_nulls(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert [tuple(r) for r in agg.sizes(df, "k").collect()] == [("a", 2)]
+    assert {tuple(r) for r in agg.sizes(df, "k", dropna=False).collect()} == {("a", 2), (None, 1)}
+
+
+def test_empty_columns_and_rows(spark):
+    df = spark.createDataFrame([(1.0, None, -200.0), (None, None, None), (float("nan"), None, -200.0)], "a double, b double, c double")
+    out = clean.sentinel_to_null(clean.drop_empty_rows(clean.drop_empty_columns(df)))
+    assert out.columns == ["a", "c"]
+    assert [tuple(r) for r in out.orderBy("a").collect()] == [(None, None), (1.0, None)]
+
+
+def test_split_is_exact_and_ignores_layout(spark):
+    df = spark.range(1003).withColumn("y", F.col("id") * 2.0)
+    a = {r["id"] for r in cal.seeded_split(df.repartition(3), 0, ["id"]).where("is_test").collect()}
+    b = {r["id"] for r in cal.seeded_split(df.repartition(11), 0, ["id"]).where("is_test").collect()}
+    c = {r["id"] for r in cal.seeded_split(df, 1, ["id"]).where("is_test").collect()}
+    assert a == b != c and len(a) == len(c) == 251
+
+
+def test_calibration_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=500)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(500), "x": x, "y": 2 * x + 1 + rng.normal(size=500) * 0.3}))
+    split = cal.seeded_split(df, 5, ["id"]).toPandas()
+    train, test = split[~split.is_test], split[split.is_test]
+    a, b = np.polyfit(train.x, train.y, 1)
+    r2 = 1 - ((test.y - a * test.x - b) ** 2).sum() / ((test.y - test.y.mean()) ** 2).sum()
+    got = cal.calibrate(df, "x", "y", ["id"], 5).first()
+    assert np.allclose([got["slope"], got["intercept"], got["r2"]], [a, b, r2])
+    model = cal.fit_many(df.withColumn("z", F.col("x") * F.col("x")), ["x", "z"], "y")
+    assert abs(model.coefficients[0] - 2) < 0.1 and abs(model.coefficients[1]) < 0.1
+
+
+def test_missing_intervals(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(seconds=s)) for s in (0, 30, 30, 100)]
+    got = agg.missing_intervals(spark.createDataFrame([(1,), (2,)], "sensor_id int"), spark.createDataFrame(rows, "sensor_id int, ts timestamp"))
+    assert [tuple(r) for r in got.collect()] == [(2, 3, 0, 3), (1, 3, 3, 0)]
