@@ -685,6 +685,128 @@ def snk07_run_log(spark, sf):
     return writers.runs(spark, store, ("run_name", "params.seed", "params.absent"))
 
 
+# --- single operators that the queries above only use in passing ------------------
+
+
+@query(i.with_sql("log", "judged_log") + "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM judged_log GROUP BY 1")
+def src01_log_file(spark, sf):
+    """The log written as text files and scanned again."""
+    path = scratch(spark, "log")
+    i.log_text(spark, sf).write.text(path)
+    judged = clean.judged_log(readers.log_lines(spark, path), i.roster(spark))
+    return judged.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS sensor_id, CAST(c_nationkey AS DOUBLE) AS x_m, floor(c_acctbal) AS y_m FROM customer")
+def src03_roster(spark, sf):
+    (customer,) = readers.tables(spark, sf, "customer")
+    line = F.concat(F.lit("  "), F.col("c_custkey"), F.lit("\t"), F.col("c_nationkey"), F.lit("   "), F.floor("c_acctbal"), F.lit(" "))
+    return readers.roster(customer.select(F.explode(F.array(line, F.lit("  "))).alias("value")))
+
+
+@query("SELECT doc_id AS cell, doc_id % 7 + 1 AS execution_count, 'x = ' || doc_id || chr(10) || 'y' AS code FROM documents WHERE doc_id % 2 = 1".replace("doc_id AS cell, doc_id % 7 + 1", "CAST(doc_id AS INTEGER) AS cell, CAST(doc_id % 7 + 1 AS INTEGER)"))
+def src13_notebook_cells(spark, sf):
+    """A notebook with a cell a document, code in every second one."""
+    (docs,) = readers.tables(spark, sf, "documents")
+    cell = F.struct(F.when(F.col("doc_id") % 2 == 1, "code").otherwise("markdown").alias("cell_type"), (F.col("doc_id") % 7 + 1).cast("int").alias("execution_count"), F.array(F.concat(F.lit("x = "), F.col("doc_id"), F.lit("\n")), F.lit("y")).alias("source"))
+    path = scratch(spark, "notebook")
+    book = docs.agg(F.sort_array(F.collect_list(F.struct("doc_id", cell.alias("c")))).alias("x")).select(F.transform("x", lambda c: c["c"]).alias("cells"))
+    book.write.json(path)
+    return readers.notebook_code(spark, path)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def snk01_rebuilt_table(spark, sf):
+    """A table that a statement creates and another fills; an older one of the name goes."""
+    (events,) = readers.tables(spark, sf, "events")
+    spark.sql("DROP TABLE IF EXISTS fieldlark_events")
+    spark.sql(f"CREATE TABLE fieldlark_events (event_id BIGINT, event_type STRING) USING parquet LOCATION '{scratch(spark, 'table')}'")
+    events.select("event_id", "event_type").write.insertInto("fieldlark_events")
+    return spark.table("fieldlark_events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS value FROM events ORDER BY event_id LIMIT 50")
+def snk05_text_sample(spark, sf):
+    (events,) = readers.tables(spark, sf, "events")
+    path = scratch(spark, "sample")
+    writers.text_sample(events.select("event_id", F.col("event_id").cast("string").alias("value")), path, 50, "event_id")
+    return spark.read.text(path)
+
+
+@query("SELECT count(*) AS n, 1 AS columns_with_values FROM events WHERE event_id % 3 <> 0")
+def flt07_drop_empty(spark, sf):
+    """Rows without any value and columns without any go."""
+    (events,) = readers.tables(spark, sf, "events")
+    rows = events.select(F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), F.lit(None).cast("string").alias("none"))
+    out = clean.drop_empty_rows(clean.drop_empty_columns(rows))
+    return out.agg(F.count("*").alias("n"), F.lit(len(out.columns)).alias("columns_with_values"))
+
+
+@query("SELECT min(ts) AS first_ts, max(ts) AS last_ts, min(value) AS lowest, max(value) AS highest FROM events")
+def agg03_global_range(spark, sf):
+    (events,) = readers.tables(spark, sf, "events")
+    return events.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+
+
+@query(STALE + f", k AS (SELECT tag, (epoch_us(server_time) - epoch_us(event_time)) / CAST(1e6 AS DOUBLE) AS lag_s FROM kept) SELECT tag, max(lag_s) AS max_lag_s, {_r('median(lag_s)', 3)} AS median_lag_s, {_r('stddev_samp(lag_s)', 3)} AS std_lag_s FROM k GROUP BY 1")
+def agg15_lag_by_tag(spark, sf):
+    lag = lateness.with_lag(_kept(spark, sf))
+    return lag.groupBy("tag").agg(F.max("lag_s").alias("max_lag_s"), rounded(F.median("lag_s"), 3).alias("median_lag_s"), rounded(F.stddev_samp("lag_s"), 3).alias("std_lag_s"))
+
+
+@query("SELECT user_id AS sensor_id, max_by(event_id, ts) AS newest FROM events GROUP BY 1")
+def ord08_newest(spark, sf):
+    (events,) = readers.tables(spark, sf, "events")
+    return events.groupBy(F.col("user_id").alias("sensor_id")).agg(F.max_by("event_id", "ts").alias("newest"))
+
+
+@query("SELECT DISTINCT event_type AS name FROM events UNION ALL SELECT DISTINCT c_mktsegment FROM customer")
+def set04_union_of_distinct(spark, sf):
+    events, customer = readers.tables(spark, sf, "events", "customer")
+    return events.select(F.col("event_type").alias("name")).distinct().unionByName(customer.select(F.col("c_mktsegment").alias("name")).distinct())
+
+
+@query(f"SELECT event_id, {_r('((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type)) / CAST(3.6e9 AS DOUBLE))', 6)} AS hours, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS step_us FROM events WHERE event_id > 0 QUALIFY step_us IS NOT NULL")
+def win07_elapsed_and_steps(spark, sf):
+    """Hours since the first sample of the type, and the microseconds since the one before."""
+    from pyspark.sql import Window
+
+    (events,) = readers.tables(spark, sf, "events")
+    us, by = F.unix_micros(utc(F.col("ts"))), Window.partitionBy("event_type")
+    rows = events.where("event_id > 0").select("event_id", rounded((us - F.min(us).over(by)) / F.lit(3.6e9), 6).alias("hours"), (us - F.lag(us).over(by.orderBy("ts"))).alias("step_us"))
+    return rows.where("step_us is not null")
+
+
+@query("SELECT 'partition filter on date' AS name, true AS seen UNION ALL SELECT 'pushed filter on sensor_id', true UNION ALL SELECT 'only asked columns read', true")
+def ben02_pruned_scan(spark, sf):
+    """What reaches the scan of a point probe over the dated tree."""
+    path = scratch(spark, "by-date")
+    writers.by_date(i.readings(spark, sf), path)
+    day = catalog.scan_range(readers.parquet_tree(spark, path), "2024-01-09 00:00:00", "2024-01-10 00:00:00").where("sensor_id = 22").select("value")
+    seen = catalog.pruning(day)
+    rows = [
+        ("partition filter on date", "date" in seen["PartitionFilters"][0]),
+        ("pushed filter on sensor_id", "EqualTo(sensor_id,22)" in seen["PushedFilters"][0]),
+        ("only asked columns read", "value" in seen["ReadSchema"][0] and "event_id" not in seen["ReadSchema"][0]),
+    ]
+    return spark.createDataFrame(rows, "name string, seen boolean")
+
+
+@query(
+    i.with_sql("log", "judged_log", "long")
+    + """SELECT 'not_null(value)' AS name, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'foreign key', 0 UNION ALL SELECT 'closed list', 0
+        UNION ALL SELECT 'repeated keys', count(*) FROM (SELECT sensor_id, event_id % 1000, variable FROM long GROUP BY 1, 2, 3 HAVING count(*) > 1)"""
+)
+def val14_constraints(spark, sf):
+    """What a table with constraints would have refused: nulls, unknown sensors and variables, repeated keys."""
+    long = clean.long_readings(_judged(spark, sf))
+    closed = val.isin("variable", clean.CHANNELS)
+    per = long.groupBy("sensor_id", (F.col("epoch") % 1000).alias("e"), "variable").agg(F.count("*").alias("n"))
+    counts = long.agg(F.count_if(F.col("value").isNull()).alias("not_null(value)"), F.count_if(closed.broken).alias("closed list"))
+    out = counts.crossJoin(val.orphans(long, i.roster(spark), "sensor_id").agg(F.count("*").alias("foreign key"))).crossJoin(per.agg(F.count_if(F.col("n") > 1).alias("repeated keys")))
+    return out.unpivot([], ["not_null(value)", "foreign key", "closed list", "repeated keys"], "name", "n")
+
+
 # --- streams ------------------------------------------------------------------------
 
 

@@ -12,12 +12,13 @@ RUN = "run_id string, run_name string, start_time timestamp, params map<string,
 def by_date(readings: DataFrame, path: str, ts: str = "ts") -> None:
     """Every column plus ``date`` of ``ts``, partitioned by it; an older tree there is replaced.
 
-    Rows are dealt by date and a salt, so that one busy day is several files,
-    and sorted by sensor and time, so that Parquet statistics skip row groups.
+    Rows are dealt by date and rebalanced by size, so that a quiet day is one
+    file and a busy one as many as its bytes ask for. Files are sorted by
+    sensor and time, so that Parquet statistics skip row groups.
     """
     dated = readings.withColumn("date", F.to_date(ts))
     keys = [c for c in ("sensor_id", ts) if c in readings.columns]
-    dealt = dated.repartition("date", F.pmod(F.xxhash64(*keys), F.lit(4)))
+    dealt = dated.hint("rebalance", "date")
     dealt.sortWithinPartitions("date", *keys).write.mode("overwrite").partitionBy("date").parquet(path)
 
 
