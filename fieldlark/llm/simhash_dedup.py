@@ -208,13 +208,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_cap: int = BUCKET)
     columns are not read.
     """
     prints = kept(fingerprints(docs, shingle))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(classes.select("fp"), bucket_cap)).withColumnRenamed("node", "fp")
     linked = kept(roots.join(classes, "fp"))
     tops = linked.groupBy("root").agg(F.min("least").alias("top"))
     moved = linked.join(tops, "root").select("fp", "top")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
-    out = prints.join(named, "fp")
+    named = kept(classes.join(moved, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")))
+    # Both sides come from a plain exchange, so that a fingerprint of very many rows can be split.
+    out = prints.join(named.hint("merge"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
