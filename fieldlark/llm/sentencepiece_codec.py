@@ -22,7 +22,7 @@ from fieldlark.llm.common import map_texts
 
 SPACE = "▁"
 #: Stretches remembered per Python worker, and the longest one remembered.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 LONGEST = 200
 #: Symbols up to which the agenda is a plain row, and the cost of a pair that never merges.
 SHORT, NEVER = 48, float("inf")
@@ -109,32 +109,30 @@ class Codec:
             raise ValueError("an entry reaches across a line break or the end of a word")
         self.cut = re.compile(rf" *{word}+| *(?:(?! )(?:{other}))+| +|\n").findall
         self.lead = self.merged(" ") + self.merged("\n")
-        self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes, bytes]] = {}
-        self.width = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def merged(self, stretch: str) -> list[int]:
         """Ids of a stretch without cuts, spaces as such."""
         sym = list(stretch.replace(" ", SPACE))
         sym = self._short(sym) if len(sym) <= SHORT else self._long(sym)
-        out: list[int] = []
-        for p in sym:
-            i = self.ids.get(p)
-            out.extend([i] if i is not None else [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")])
-        return out
+        ids = list(map(self.ids.get, sym))
+        if None in ids:  # characters without an entry are spelt as bytes
+            ids = [x for i, p in zip(ids, sym) for x in ([i] if i is not None else [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")])]
+        return ids
 
     def _short(self, sym: list[str]) -> list[str]:
         """The agenda as a row of costs beside the symbols: least cost first, then leftmost."""
-        get = self.cost.get
-        costs = [get(a + b, NEVER) for a, b in zip(sym, sym[1:])]
-        while costs and (least := min(costs)) < NEVER:
+        get, never = self.cost.get, NEVER
+        costs = [get(a + b, never) for a, b in zip(sym, sym[1:])]
+        while costs and (least := min(costs)) is not never:
             i = costs.index(least)
-            sym[i : i + 2] = [sym[i] + sym[i + 1]]
+            one = sym[i] = sym[i] + sym.pop(i + 1)
             del costs[i]
             if i < len(costs):
-                costs[i] = get(sym[i] + sym[i + 1], NEVER)
+                costs[i] = get(one + sym[i + 1], never)
             if i:
-                costs[i - 1] = get(sym[i - 1] + sym[i], NEVER)
+                costs[i - 1] = get(sym[i - 1] + one, never)
         return sym
 
     def _long(self, sym: list[str]) -> list[str]:
@@ -163,34 +161,38 @@ class Codec:
         return [p for p in sym if p]
 
     def _against(self, fresh: dict[str, list[int]]) -> None:
-        """Raises if the library encodes or decodes a stretch differently.
+        """Raises if the library encodes or decodes any of the stretches differently.
 
-        Each is asked for after a line break, where the library puts nothing
-        before it.
+        All are asked for at once, each after a line break: no entry reaches
+        across one, and the library puts nothing before what follows it.
         """
-        stretches, lead = list(fresh), self.lead
-        for s, ids in zip(stretches, self.library.encode(["\n" + s for s in stretches], num_threads=1)):
-            if ids[: len(lead)] != lead or ids[len(lead) :] != fresh[s]:
-                raise ValueError(f"library and agenda differ on {s!r}")
-        for s, text in zip(stretches, self.library.decode([lead + fresh[s] for s in stretches])):
-            if text.encode() != b"\n" + self.bytes_of(fresh[s]):
-                raise ValueError(f"library and table decode {s!r} differently")
+        text = "\n" + "\n".join(fresh)
+        want, line = list(self.lead[:-1]), self.lead[-1]
+        for ids in fresh.values():
+            want.append(line)
+            want += ids
+        if self.library.encode(text, num_threads=1) != want:
+            raise ValueError(f"library and agenda differ on one of {list(fresh)[:20]}")
+        if self.library.decode(want) != text:
+            raise ValueError(f"library does not decode to one of {list(fresh)[:20]}")
+        if b" " + text.encode() != self.bytes_of(want):
+            raise ValueError(f"library and table decode one of {list(fresh)[:20]} differently")
 
     def bytes_of(self, ids: list[int]) -> bytes:
         raw = self.raw
         return b"".join([raw[i] for i in ids])
 
-    def learn(self, stretches: set[str]) -> dict[str, tuple[int, str, bytes, bytes]]:
-        """(ids, ids as text, ids as binary, decoded bytes) of stretches; the library has agreed to each."""
+    def learn(self, stretches: set[str]) -> dict[str, str]:
+        """Ids, as text, of the stretches that were not known; the library has agreed to each, and that they decode to it."""
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        unseen = [s for s in stretches if s not in known]
+        unseen = stretches.difference(known)
         known.update((s, older[s]) for s in unseen if s in older)
         fresh = {s: self.merged(s) for s in unseen if s not in older}
         if self.check and fresh:
             self._against(fresh)
-        made = {s: (len(i), " ".join(map(str, i)), np.array(i, self.width).tobytes(), self.bytes_of(i)) for s, i in fresh.items()}
+        made = {s: " ".join(map(str, ids)) for s, ids in fresh.items()}
         known.update((s, v) for s, v in made.items() if len(s) <= LONGEST)
         return made
 
@@ -198,20 +200,21 @@ class Codec:
         """Where a text may be cut; its leading space is put first, as the library does."""
         return self.cut(" " + text.replace(SPACE, " ")) if text else []
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes, bytes]]]:
-        """The encoded stretches of each text, learnt for a bounded number of texts at once."""
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """(ids as text, decoded text) of each text, without end id; learnt for a bounded number of texts at once."""
         for k in range(0, len(texts), 256):
             cuts = [self.stretches(t) for t in texts[k : k + 256]]
             made = self.learn(set().union(*cuts))
             known = self.known
             for c in cuts:
                 try:
-                    yield [known[s] for s in c]
+                    ids = " ".join(map(known.__getitem__, c))
                 except KeyError:  # too long to remember
-                    yield [known.get(s) or made[s] for s in c]
+                    ids = " ".join([known[s] if s in known else made[s] for s in c])
+                yield ids, "".join(c)[1:]
 
     def encode(self, text: str, end: bool = True) -> list[int]:
-        ids = [i for x in next(self.encode_batch([text])) for i in np.frombuffer(x[2], self.width).tolist()]
+        ids = [int(i) for i in next(self.encode_batch([text]))[0].split()]
         return ids + [self.end] if end else ids
 
     def decode(self, ids: list[int]) -> str:
@@ -242,10 +245,11 @@ def digest_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(texts: list[str | None]) -> list:
         c = codec(path or public_tokenizer())
         n, ids, decoded = [], [], []
-        for parts in c.encode_batch([t or "" for t in texts]):
-            n.append(sum([p[0] for p in parts]) + 1)
-            ids.append(hashlib.sha256(" ".join([p[1] for p in parts] + [str(c.end)]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(b"".join([p[3] for p in parts])[1:]).hexdigest())
+        for spelt, text in c.encode_batch([t or "" for t in texts]):
+            spelt = f"{spelt} {c.end}" if spelt else str(c.end)
+            n.append(spelt.count(" ") + 1)
+            ids.append(hashlib.sha256(spelt.encode()).hexdigest())
+            decoded.append(hashlib.sha256(text.encode()).hexdigest())
         return [n, ids, decoded]
 
     return map_texts(docs, "text", [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], run)
@@ -256,7 +260,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(texts: list[str | None]) -> list:
         c = codec(path or public_tokenizer())
-        return [[np.append(np.frombuffer(b"".join([p[2] for p in parts]), c.width), c.end).astype(np.int32) for parts in c.encode_batch([t or "" for t in texts])]]
+        return [[np.array([*spelt.split(), c.end], np.int32) for spelt, _ in c.encode_batch([t or "" for t in texts])]]
 
     return map_texts(docs, "text", [("ids", T.ArrayType(T.IntegerType()))], run)
 
