@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldlark.functions.scalars import hour_label, rounded
+from fieldlark.session import dimension
 
 
 def hourly_mean(readings: DataFrame, variable: str) -> DataFrame:
@@ -30,7 +31,7 @@ def missing_intervals(roster: DataFrame, readings: DataFrame, every: float = 30.
 
 def outside_bounds(readings: DataFrame, bounds: DataFrame) -> DataFrame:
     """(variable, n_rows, n_sensors, lowest, highest) of values outside ``bounds`` (variable, low, high); clean variables give no row."""
-    out = readings.join(F.broadcast(bounds), "variable").where("value not between low and high")
+    out = readings.join(dimension(bounds), "variable").where("value not between low and high")
     return out.groupBy("variable").agg(F.count("*").alias("n_rows"), F.countDistinct("sensor_id").alias("n_sensors"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
 
 
@@ -56,12 +57,37 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).agg(*(F.count_if(F.col(column) == v).alias(n) for v, n in zip(values, names)))
 
 
+def quantiles(df: DataFrame, value: str, probs: tuple[float, ...], blocks: int = 64) -> DataFrame:
+    """One row, a column ``q0``, ``q1``, ... a probability: exact quantiles by linear interpolation; nulls do not count.
+
+    Distinct values and their counts are ranked in blocks of about equal size,
+    so no task holds all values. Only block borders and block sizes, ``blocks``
+    rows, meet in one place.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    borders = df.agg(F.array_distinct(F.coalesce(F.percentile_approx(F.col(value).cast("double"), [k / blocks for k in range(1, blocks)], 10 * blocks), F.array().cast("array<double>"))).alias("_borders"))
+    counts = counts.crossJoin(F.broadcast(borders)).select("_v", "_n", F.size(F.filter("_borders", lambda b: b < F.col("_v"))).alias("_block"))
+    sizes = counts.groupBy("_block").agg(F.sum("_n").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_block", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    inside = Window.partitionBy("_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(F.broadcast(sizes), "_block").select("_v", "_all", "_n", (F.col("_before") + F.sum("_n").over(inside)).alias("_to"))
+    out = []
+    for k, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_all") - 1)
+        # The values at ranks floor(at) and ceil(at), counted from zero.
+        low = F.min(F.when(F.col("_to") > F.floor(at), F.col("_v")))
+        high = F.min(F.when(F.col("_to") > F.ceil(at), F.col("_v")))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"q{k}"))
+    return ranked.agg(*out)
+
+
 def describe(df: DataFrame, value: str, digits: int = 6) -> DataFrame:
     """One row: count, mean, sample deviation, least, quartiles by linear interpolation, largest."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    r = lambda c: rounded(c, digits)
-    return out.select("count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), "min", *(r(F.col("q")[i]).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "max")
+    out = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = out.crossJoin(F.broadcast(quantiles(df, value, (0.25, 0.5, 0.75))))
+    r = lambda c: rounded(F.col(c), digits)
+    return out.select("count", r("mean").alias("mean"), r("std").alias("std"), "min", *(r(f"q{i}").alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "max")
 
 
 def arity_histogram(lines: DataFrame) -> DataFrame:

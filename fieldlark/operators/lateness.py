@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldlark.functions.scalars import clipped, minutes_between, rounded, seconds_between
 from fieldlark.operators.series import running_max
+from fieldlark.session import dimension
 
 ALLOWANCES = (0, 15, 30, 45, 60, 90, 120, 180)
 
@@ -38,7 +39,7 @@ def staleness(published: DataFrame, contract: DataFrame, sample_s: float) -> Dat
     """(tag, analyser_interval_hours, predicted_max_lag_s, observed_max_lag_s, agrees) over live rows."""
     observed = with_lag(published).where("not is_historical").groupBy("tag").agg(F.max("lag_s").alias("observed_max_lag_s"))
     predicted = F.greatest(F.coalesce("analyser_interval_hours", F.lit(0.0)) * 3600 - sample_s, F.lit(0.0))
-    out = observed.join(F.broadcast(contract.select("tag", "analyser_interval_hours", predicted.alias("predicted_max_lag_s"))), "tag")
+    out = observed.join(dimension(contract.select("tag", "analyser_interval_hours", predicted.alias("predicted_max_lag_s"))), "tag")
     return out.select("tag", "analyser_interval_hours", "predicted_max_lag_s", "observed_max_lag_s", (F.col("predicted_max_lag_s") == F.col("observed_max_lag_s")).alias("agrees"))
 
 

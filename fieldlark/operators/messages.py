@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, functions as F
 
 from fieldlark.functions.scalars import milliseconds
+from fieldlark.session import dimension
 
 
 def birth(captured: DataFrame, order: str = "line") -> Row | None:
@@ -33,4 +34,4 @@ def decode(captured: DataFrame, tags: DataFrame) -> DataFrame:
     rows = rows.select(
         F.col("m.name").alias("tag"), "m.value", F.col("m.statusCode").alias("status"), ms("m.sourceTimestamp").alias("event_time"), "seq", ms("s").alias("server_time"), "is_historical", ms("r").alias("received_at")
     )
-    return rows.join(F.broadcast(tags.select("tag", "unit")), "tag", "left")
+    return rows.join(dimension(tags.select("tag", "unit")), "tag", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldlark.functions.scalars import epoch_seconds
+from fieldlark.session import dimension
 
 
 def trailing_window(df: DataFrame, key: str, ts: str, seconds: int, aggregates: dict[str, Column], chunk: int = 86_400) -> DataFrame:
@@ -38,15 +39,21 @@ def running_max(df: DataFrame, order: str, value: str, name: str, before: bool =
     return df.join(frontier, F.col(order).eqNullSafe(F.col("_order")), "left").drop("_order")
 
 
-def grid(df: DataFrame, ts: str, interval: str) -> DataFrame:
-    """(ts) from the first to the last instant of ``df`` at a fixed interval; nothing for an empty table."""
-    ends = df.agg(F.min(ts).alias("a"), F.max(ts).alias("b"))
-    return ends.where("a is not null").select(F.explode(F.expr(f"sequence(a, b, interval {interval})")).alias(ts))
+def grid(df: DataFrame, ts: str, interval: str, chunk: int = 10_000) -> DataFrame:
+    """(ts) from the first to the last instant of ``df`` at a fixed interval; nothing for an empty table.
+
+    Starts of ``chunk`` instants are dealt to tasks first, and each is filled
+    in where it lies.
+    """
+    ends = df.agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).where("_a is not null")
+    starts = ends.select("_b", F.explode(F.expr(f"sequence(_a, _b, interval {interval} * {chunk})")).alias("_s")).repartition("_s")
+    last = F.expr(f"least(_b, _s + interval {interval} * {chunk - 1})")
+    return starts.withColumn("_b", last).select(F.explode(F.expr(f"sequence(_s, _b, interval {interval})")).alias(ts))
 
 
 def on_grid(df: DataFrame, tag: str, ts: str, value: str, tags: DataFrame, interval: str) -> DataFrame:
     """(tag, ts, value) for every tag at every instant of the grid; instants off the grid go."""
-    cells = grid(df, ts, interval).crossJoin(F.broadcast(tags.select(tag).distinct()))
+    cells = grid(df, ts, interval).crossJoin(dimension(tags.select(tag).distinct()))
     return cells.join(df.select(tag, ts, value), [tag, ts], "left")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldlark.functions.scalars import utc
+from fieldlark.session import dimension
 from fieldlark.sources.readers import tables
 
 BOUNDS = (("click", 0.0, 150.0), ("view", 0.0, 120.0), ("signup", 1.0, 400.0), ("purchase", 0.5, 90.0))
@@ -112,7 +113,7 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_units(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Unit and range of each row's tag, null where undeclared."""
     dims = contract(spark).select("tag", "unit").join(units(spark), "unit", "left")
-    return rows.join(F.broadcast(dims), "tag", "left")
+    return rows.join(dimension(dims), "tag", "left")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

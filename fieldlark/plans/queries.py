@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fieldlark.functions.scalars import naive, no_nan, numbers, rounded, short_digest, utc
 from fieldlark.operators import aggregates as agg, calibrate as cal, clean, lateness, messages as msg, series, sets, validate as val
 from fieldlark.plans import catalog, inputs as i
-from fieldlark.session import kept as written, scratch
+from fieldlark.session import dimension, kept as written, scratch
 from fieldlark.sources import readers, writers
 from fieldlark.streaming import streams
 
@@ -519,7 +519,7 @@ def agg23_complete_rows(spark, sf):
 @query(GRID + " SELECT CASE WHEN tag IN ('signup', 'purchase') THEN 'analyser' ELSE 'continuous' END AS kind, count(*) AS cells, count(*) - count(n) AS empty, " + _r("(100 * (count(*) - count(n)) / count(*))", 2) + " AS percent FROM cells GROUP BY 1")
 def agg23_holes_by_kind(spark, sf):
     kind = F.when(F.col("analyser_interval_hours").isNotNull(), "analyser").otherwise("continuous").alias("kind")
-    cells = series.forward_fill(_cells(spark, sf), "tag", "ts", "n").join(F.broadcast(i.contract(spark).select("tag", kind)), "tag")
+    cells = series.forward_fill(_cells(spark, sf), "tag", "ts", "n").join(dimension(i.contract(spark).select("tag", kind)), "tag")
     return agg.hole_counts(cells, ["kind"])
 
 

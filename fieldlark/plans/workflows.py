@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fieldlark.functions.scalars import iso_millis
 from fieldlark.operators import aggregates as agg, calibrate as cal, clean, lateness, messages as msg, series, validate as val
 from fieldlark.plans import catalog
-from fieldlark.session import kept
+from fieldlark.session import dimension, kept
 from fieldlark.sources import readers, writers
 
 READING_TYPES = {"sensor_id": "int", "ts": "timestamp", "ts_unix": "double", "epoch": "bigint", "variable": "string", "value": "double"}
@@ -84,7 +84,7 @@ def plant(spark: SparkSession, capture: str, ranges: dict[str, tuple[float, floa
     tags = kept(msg.contract(raw))
     decoded = msg.decode(raw, tags)
     bounds = spark.createDataFrame([(u, *r) for u, r in ranges.items()], "unit string, low double, high double")
-    good, bad = clean.quarantine(decoded.join(F.broadcast(bounds), "unit", "left"))
+    good, bad = clean.quarantine(decoded.join(dimension(bounds), "unit", "left"))
     good = kept(good)
     measured = kept(clean.keep_first(good, ["tag", "event_time"], ["received_at", "server_time", "seq"]))
     types = dict(decoded.dtypes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: What every query here relies on: UTC, adaptive plans, skewed joins dealt anew.
 SETTINGS = {
@@ -28,12 +28,17 @@ def connect(app: str = "fieldlark", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="fieldlark-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="fieldlark-shared-")
+        named = _own_dirs[app]
     return named.rstrip("/")
 
 
@@ -47,3 +52,11 @@ def kept(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "kept")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dimension(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """``df`` for the small side of a join: broadcast if it has at most ``most`` rows, else shuffled as Spark sees fit.
+
+    Counts no more than ``most`` + 1 rows.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from fieldlark.operators.clean import with_reason
+from fieldlark.session import dimension as small
 from fieldlark.sources.readers import MESSAGE
 
 
@@ -39,7 +40,7 @@ def first_measurements(stream: DataFrame, tag: str = "tag", at: str = "event_tim
 
 def with_dimension(stream: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Stream-static left join against a dimension of a few rows, such as the contract."""
-    return stream.join(F.broadcast(dimension), key, "left")
+    return stream.join(small(dimension), key, "left")
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:

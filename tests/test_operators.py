@@ -162,6 +162,23 @@ def test_describe_and_gap(spark):
     assert [r["k"] for r in agg.both_ends(b, 1, "k").collect()] == [1, 3]
 
 
+@pytest.mark.parametrize("blocks", [1, 4, 64])
+def test_quantiles(spark, blocks):
+    rng = np.random.default_rng(6)
+    for v in (rng.normal(size=501), rng.integers(0, 5, 200).astype(float), np.array([3.0]), np.repeat([1.0, 2.0], [300, 1])):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+        got = agg.quantiles(df, "v", (0.0, 0.25, 0.5, 0.9, 1.0), blocks).first()
+        assert np.allclose(list(got), np.quantile(v, [0, 0.25, 0.5, 0.9, 1.0]))
+    assert list(agg.quantiles(df.limit(0), "v", (0.5,), blocks).first()) == [None]
+
+
+def test_dimension_beyond_its_bound_is_not_broadcast(spark):
+    from fieldlark.plans.catalog import plan_text
+    from fieldlark.session import dimension
+
+    assert "ResolvedHint" in plan_text(dimension(spark.range(10), 10), "extended") and "ResolvedHint" not in plan_text(dimension(spark.range(11), 10), "extended")
+
+
 def test_sizes_and_nulls(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
     assert [tuple(r) for r in agg.sizes(df, "k").collect()] == [("a", 2)]
