@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from fieldlark.session import kept, shared_dir  # noqa: F401
+
 #: Text white space of every contract here: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
-
-    A session without ``spark.checkpoint.dir`` (tests on one machine) gets a
-    temporary folder, and keeps it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="fieldlark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    Cuts lineage so that later jobs neither recompute it nor depend on any
-    executor that made it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,3 +34,13 @@ def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, T.DataType]],
 
     schema = T.StructType([*(docs.schema[k] for k in keys), *(T.StructField(n, t) for n, t in fields)])
     return docs.select(*keys, text).mapInArrow(run, schema)
+
+
+def column(name: str):
+    """The column of exactly this name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with its row as the one struct ``name``, so that no column of it can clash with another."""
+    return df.select(F.struct(*(column(c).alias(c) for c in df.columns)).alias(name))

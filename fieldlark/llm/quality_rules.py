@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldlark.llm.common import whole
+
 #: Labelled rows that rules are learnt from at most: those of least id hash.
 SAMPLE = 4000
 MOST_RULES, MOST_CONDITIONS, MOST_CUTS = 12, 3, 48
@@ -216,5 +218,5 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged."""
     rules = learn(labelled_rows(docs, labels))
-    wrapped = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return judge(wrapped, rules).where("kept").select("_row.*")
+    rows = whole(docs, "row").select("row", F.col("row.text").alias("text"))
+    return judge(rows, rules).where("kept").select("row.*")

@@ -19,7 +19,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fieldlark.llm.common import map_texts
+from fieldlark.llm.common import map_texts, whole
 
 # The base patterns, their least lengths and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -172,8 +172,9 @@ def redact(docs: DataFrame) -> DataFrame:
     def clean(text: pd.Series) -> pd.Series:
         return text.map(redacted, na_action="ignore")
 
-    out = docs.withColumn("_clean", clean("text"))
-    if "n_chars" in docs.columns:
-        counted = F.char_length("_clean").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_clean") == F.col("text"), F.col("n_chars")).otherwise(F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(counted)))
-    return out.withColumn("text", F.col("_clean")).select(docs.columns)
+    out = whole(docs, "row").select("row", clean("row.text").alias("text"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        same = F.col("text").eqNullSafe(F.col("row.text"))
+        columns["n_chars"] = F.when(same, columns["n_chars"]).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(c.alias(n) for n, c in columns.items()))

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fieldlark.llm.common import column, whole
+
 SEED = 20240229
 #: Rows of a logical part, and the most parts: bounds the matrix and its broadcast.
 PART_ROWS, MOST_PARTS = 8192, 4096
@@ -77,16 +79,18 @@ def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int =
 
     Shard sizes are at most one apart, the larger ones first, and every row has
     the same chance of every place. Rows lie by shard and slot afterwards.
-    ``key`` should name rows; rows with a null or repeated key share a part,
+    Columns of ``rows`` named shard or slot give way. ``key`` should name rows; rows with a null or repeated key share a part,
     whose order among them is then by their other columns' hash, equal rows in
     any order. With fewer rows than shards the last shards are empty; an empty
     table gives an empty result.
     """
     spark = rows.sparkSession
-    others = [c for c in rows.columns if c != key]
+    own = [c for c in rows.columns if c not in ("shard", "slot")]
+    others = [F.col("row")[c] for c in own if c != key]
+    rows = whole(rows.select(*map(column, own)), "row").select("row", F.col("row")[key].alias("key"))
     total = rows.count()
     parts = max(1, min(MOST_PARTS, -(-total // PART_ROWS)))
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(parts)).cast("int")
     counts = dict(rows.select(part.alias("_part")).groupBy("_part").count().collect())
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     matrix = communication_matrix([counts.get(i, 0) for i in range(parts)], sizes, seed)
@@ -94,7 +98,7 @@ def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int =
     before = np.cumsum(matrix, axis=0) - matrix
     # At most MOST_PARTS lines, so small at any size of the table.
     plan = spark.createDataFrame([(i, ends[i].tolist(), (before[i] - ends[i] + matrix[i]).tolist()) for i in range(parts)], "_part int, _ends array<long>, _base array<long>")
-    order = [F.xxhash64(F.col(key), F.lit(seed + 1)), *([F.xxhash64(*others)] if others else [])]
+    order = [F.xxhash64("key", F.lit(seed + 1)), *([F.xxhash64(*others)] if others else [])]
     dealt = rows.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     dealt = dealt.join(F.broadcast(plan), "_part").withColumn("shard", F.expr("cast(size(filter(_ends, e -> e <= _rank)) as int)"))
     dealt = dealt.withColumn("_place", F.expr("_base[shard] + _rank")).withColumn("_size", F.element_at(F.array(*[F.lit(s).cast("long") for s in sizes]), F.col("shard") + 1))
@@ -103,10 +107,10 @@ def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int =
     def again(place: pd.Series, size: pd.Series, shard: pd.Series) -> pd.Series:
         return pd.Series(permuted(place.to_numpy(np.int64), size.to_numpy(np.int64), shard.to_numpy(np.int64) + seed))
 
-    dealt = dealt.withColumn("slot", again("_place", "_size", "shard")).select(*rows.columns, "shard", "slot")
+    dealt = dealt.select("row", "shard", again("_place", "_size", "shard").alias("slot"))
     runs = max(1, -(-total // RUN))
     moved = dealt.withColumn("_run", F.expr(f"slot div {RUN}")).repartition(min(runs, 100_000), "shard", "_run")
-    return moved.sortWithinPartitions("shard", "slot").drop("_run")
+    return moved.sortWithinPartitions("shard", "slot").select(*(F.col("row")[c].alias(c) for c in own), "shard", "slot")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fieldlark.llm.common import kept, map_texts
+from fieldlark.llm.common import kept, map_texts, whole
 from fieldlark.llm.components import connected_components
 
 RADIUS = 2
@@ -226,10 +226,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id, one of them. A row without a doc_id cannot be named and stays.
     """
     found = near_duplicates(docs).where("doc_id = component_id")
-    ids = kept(found.groupBy("doc_id").agg(F.count("*").alias("_rows")))
+    ids = kept(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
+    rows = whole(docs, "row").select("row", F.col("row.doc_id").alias("doc_id"))
     # The ids grow with the rows: never broadcast, small or large.
-    out = docs.join(ids.hint("merge"), "doc_id", "left").where("_rows is not null or doc_id is null")
-    once = out.where("_rows is null or _rows = 1")
-    if ids.where("_rows > 1").isEmpty():
-        return once.select(docs.columns)
-    return once.select(docs.columns).union(out.where("_rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    out = rows.join(ids.hint("merge"), "doc_id", "left").where("rows is not null or doc_id is null")
+    once = out.where("rows is null or rows = 1")
+    if not ids.where("rows > 1").isEmpty():
+        once = once.union(out.where("rows > 1").dropDuplicates(["doc_id"]))
+    return once.select("row.*")
