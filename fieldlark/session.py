@@ -48,10 +48,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that nothing computes it twice."""
-    path = scratch(df.sparkSession, "kept")
+    """``df`` written to the shared folder and read again.
+
+    Cuts lineage: later jobs neither compute it twice nor depend on an executor
+    that made it. The files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "kept")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dimension(df: DataFrame, most: int = 20_000) -> DataFrame:
