@@ -22,7 +22,7 @@ from fieldlark.llm.common import kept
 K = 20
 LISTS = 2
 #: Queries and classes of a block, on average; queries scored at once.
-QUERY_BLOCK, CLASS_BLOCK, SLICE = 1024, 16384, 128
+QUERY_BLOCK, CLASS_BLOCK, SLICE = 16384, 8192, 128
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ def _own_room(qid: int, qv: np.ndarray, ids: list[int], cv: np.ndarray) -> int:
     return len(ids) - (qid in ids and bool((qv == cv).all()))
 
 
-def _first(k: int):
-    """Phase one: the best exact scores among the local heads of all lists."""
+def _first(share: int):
+    """Phase one: the ``share`` best exact scores of a block, among the heads of its lists."""
 
     def run(key: tuple, queries: pa.Table, classes: pa.Table) -> pa.Table:
         names = ["query_id", "query_key", "score"]
@@ -66,14 +66,14 @@ def _first(k: int):
         q, c, lists = _blocks(queries, classes)
         qids, keys, ids = queries.column("vec_id").to_pylist(), queries.column("query_key").to_pylist(), classes.column("ids").to_pylist()
         out: list[tuple[int, int, int]] = []
-        head = min(k + 1, len(c))
+        head = min(share + 1, len(c))
         for at in range(0, len(q), SLICE):
             part = q[at : at + SLICE]
             heads = np.concatenate([np.argpartition(-(part[:, s] @ c[:, s].T), head - 1, axis=1)[:, :head] for s in lists], axis=1)
             for i, row in enumerate(heads):
                 row = np.unique(row)
                 scores = c[row] @ part[i]
-                left = k
+                left = share
                 for j in np.argsort(-scores, kind="stable"):
                     n = min(left, _own_room(qids[at + i], part[i], ids[row[j]], c[row[j]]))
                     out += [(qids[at + i], keys[at + i], int(scores[j]))] * n
@@ -143,7 +143,9 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
     meet = ("block", "chunk")
 
-    heads = queries.withColumn("chunk", spread).groupBy(*meet).cogroup(classes.groupBy(*meet)).applyInArrow(_first(k), "query_id long, query_key long, score long")
+    # The k-th best of any candidates is a safe cutoff, so a block need not send k of its own: four times its part will do.
+    share = min(k, -(-4 * k // chunks) + 1)
+    heads = queries.withColumn("chunk", spread).groupBy(*meet).cogroup(classes.groupBy(*meet)).applyInArrow(_first(share), "query_id long, query_key long, score long")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"))
     cut = heads.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("query_id", "query_key").agg(F.min("score").alias("cutoff"), F.count("*").alias("_n"))
     cut = cut.select(F.col("query_id").alias("vec_id"), "query_key", F.when(F.col("_n") == k, F.col("cutoff")).alias("cutoff"))
