@@ -19,7 +19,8 @@ from fieldlark.llm.common import whole
 #: Labelled rows that rules are learnt from at most: those of least id hash.
 SAMPLE = 4000
 MOST_RULES, MOST_CONDITIONS, MOST_CUTS = 12, 3, 48
-LEAST_PRECISION, LEAST_COVER = 0.9, 3
+#: A rule needs so much precision, and at least so many bad rows and such a share of all rows to show it on.
+LEAST_PRECISION, LEAST_COVER, LEAST_SHARE = 0.95, 3, 0.004
 
 BLANK = " \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -167,7 +168,7 @@ def learn(rows: list[dict]) -> list[Rule]:
         rule = _pruned(_grown(grow), prune)
         inside = _covered(rule, left) if rule else []
         (bad, good), (held_bad, held_good) = _counts(inside), _counts(_covered(rule, prune) if rule else [])
-        if bad < LEAST_COVER or bad < LEAST_PRECISION * (bad + good) or held_bad < LEAST_PRECISION * (held_bad + held_good):
+        if bad < max(LEAST_COVER, LEAST_SHARE * len(rows)) or bad < LEAST_PRECISION * (bad + good) or held_bad < LEAST_PRECISION * (held_bad + held_good):
             break
         rules.append(rule)
         left = [r for r in left if not all(c.holds(r) for c in rule)]
