@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 class SchemaError(ValueError):
@@ -61,12 +63,17 @@ def schema_problems(df: DataFrame, schema: Schema) -> list[str]:
 def failures(df: DataFrame, schema: Schema) -> DataFrame:
     """(columns of ``df``, check): a row for every check that a row fails, in one pass.
 
-    Uniqueness is a window over its key and fails every row of a repeated key.
+    Uniqueness counts its keys, nulls as equal, and fails every row of a
+    repeated one: counts combine before the shuffle and only repeated keys are
+    joined back, so a key of very many rows can be split.
     """
     checks, rows = schema.all_checks(), df
     if schema.unique:
-        rows = rows.withColumn("_same", F.count("*").over(Window.partitionBy(*schema.unique)))
-        checks = [*checks, Check(f"unique({', '.join(schema.unique)})", F.col("_same") > 1)]
+        keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate(schema.unique)]
+        repeated = df.select(*keys).groupBy(*(f"_key{i}" for i in range(len(keys)))).agg(F.count("*").alias("_same")).where("_same > 1")
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(schema.unique)))
+        rows = rows.join(repeated, same, "left")
+        checks = [*checks, Check(f"unique({', '.join(schema.unique)})", F.col("_same").isNotNull())]
     found = F.array_compact(F.array(*(F.when(c.broken, F.lit(c.name)) for c in checks)))
     return rows.select(*df.columns, F.explode(found).alias("check"))
 

@@ -807,6 +807,56 @@ def val14_constraints(spark, sf):
     return out.unpivot([], ["not_null(value)", "foreign key", "closed list", "repeated keys"], "name", "n")
 
 
+# --- scalar functions, family by family ---------------------------------------------
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:00:00') AS hour, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, strftime(CAST(substr(CAST(ts AS VARCHAR), 1, 10) AS DATE), '%Y-%m-%d') AS day,
+        (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / CAST(6e7 AS DOUBLE) AS minutes, strptime(strftime(ts, '%d/%m/%Y %H.%M.%S'), '%d/%m/%Y %H.%M.%S') AS parsed, date_trunc('millisecond', ts) AS ms FROM events"""
+)
+def fn_dates(spark, sf):
+    from fieldlark.functions import scalars as fn
+
+    (events,) = readers.tables(spark, sf, "events")
+    ts = F.col("ts")
+    parsed = F.to_timestamp(F.date_format(ts, "dd/MM/yyyy HH.mm.ss"), "dd/MM/yyyy HH.mm.ss")
+    return events.select("event_id", fn.hour_label(ts).alias("hour"), fn.iso_millis(ts).alias("iso"), F.to_date(ts).cast("string").alias("day"), fn.minutes_between(ts, F.lit("2024-01-01").cast("timestamp_ntz")).alias("minutes"), naive(parsed).alias("parsed"), naive(fn.milliseconds(ts)).alias("ms"))
+
+
+@query(
+    """SELECT p_partkey, len(string_split(p_name, ' ')) AS one_space, len(string_split(p_type, ' ')) AS words, regexp_matches(CAST(p_size AS VARCHAR), '^[0-9]+$') AS digits, replace(CAST(p_retailprice AS VARCHAR), '.', ':') AS swapped,
+        ends_with(p_type, 'L') AS ends, split_part(p_brand, '#', 2) AS part, TRY_CAST(split_part(p_brand, '#', 2) AS BIGINT) AS number FROM part"""
+)
+def fn_strings(spark, sf):
+    from fieldlark.functions import scalars as fn
+
+    (parts,) = readers.tables(spark, sf, "part")
+    brand = F.split_part("p_brand", F.lit("#"), F.lit(2))
+    return parts.select(
+        "p_partkey",
+        F.size(F.split("p_name", " ", -1)).cast("long").alias("one_space"),
+        F.size(F.split(F.trim("p_type"), r"\s+")).cast("long").alias("words"),
+        F.col("p_size").cast("string").rlike("^[0-9]+$").alias("digits"),
+        F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(":")).alias("swapped"),
+        F.col("p_type").endswith("L").alias("ends"),
+        brand.alias("part"),
+        fn.strict_int(brand).alias("number"),
+    )
+
+
+@query(
+    f"""SELECT event_id, abs(value - 50) AS gap, CASE WHEN event_id % 5 <> 0 THEN greatest(value - 50, 0) END AS clipped, coalesce(CASE WHEN event_id % 5 <> 0 THEN value END, 0.0) AS filled,
+        {_r('(value / 7)', 3)} AS ratio, CAST(nullif(event_id % 4, 0) AS DOUBLE) AS no_zero, CAST(trunc(value) AS BIGINT) AS whole FROM events"""
+)
+def fn_math_and_nulls(spark, sf):
+    from fieldlark.functions import scalars as fn
+
+    (events,) = readers.tables(spark, sf, "events")
+    v, e = F.col("value"), F.col("event_id")
+    some = F.when(e % 5 != 0, v)
+    return events.select("event_id", F.abs(v - 50).alias("gap"), fn.clipped(some - 50).alias("clipped"), F.coalesce(some, F.lit(0.0)).alias("filled"), rounded(v / 7, 3).alias("ratio"), F.nullif(e % 4, F.lit(0).cast("long")).cast("double").alias("no_zero"), v.cast("long").alias("whole"))
+
+
 # --- streams ------------------------------------------------------------------------
 
 
