@@ -79,8 +79,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster:
     rest, which go to different bins. A null or empty text, or one without a
     word, is one piece of no words; such pieces keep to the same rules. Null
     sources count as one source; null clusters as one cluster. Null doc_ids
-    and repeated rows keep their pieces; repeated rows are of one cluster. An
-    empty table gives an empty result; extra columns are not read.
+    and repeated rows keep their pieces; repeated rows are of one cluster. Of
+    pieces of equal length the one of the lesser hash of id and cluster, then
+    the earlier piece, is placed first; of equally tight bins the older takes
+    it. An empty table gives an empty result; extra columns are not read.
     """
     n = docs.count()
     groups = max(1, -(-n // group))

@@ -139,7 +139,8 @@ def packed_rows(docs: DataFrame, path: str | None = None, row: int = ROW, window
 
     Every document ends with the end id, so a null or empty text is one token.
     Documents over a row are cut into whole rows and a rest. Null doc_ids and
-    repeated rows keep their segments. An empty table gives no row. Extra
+    repeated rows keep their segments. Of pieces of equal length the earlier in
+    the window is placed first. An empty table gives no row. Extra
     columns are not read. ``part`` and ``row`` name a row.
     """
 

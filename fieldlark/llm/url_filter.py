@@ -37,7 +37,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """Text and verdict of the longest rule that fits; null if none does."""
+    """Text and verdict of the longest rule that fits, of equally long ones the later in order of text; null if none does."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
