@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, packed bins out.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before it kept; all but the last return the columns of ``documents``.
+before it kept; all but the last return the columns of ``documents``, extra
+ones included whatever their names. An empty table runs through to an empty
+result, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -13,22 +15,31 @@ from fieldlark.llm.common import kept, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules learnt from ``labels`` reject go."""
+    """Documents that the rules learnt from ``labels`` reject go.
+
+    Null, empty and wordless texts, and all below fifty words, fail the base
+    rule and go. Repeated rows and rows without a doc_id are judged like any
+    other; without usable labels only the base rule holds.
+    """
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each near-duplicate component stays: the one of least doc_id.
+
+    Of rows that repeat that doc_id one stays. Rows without a doc_id cannot be
+    named and stay. Texts without a word form one component.
+    """
     return simhash_dedup.drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced; every document stays."""
+    """Secrets are replaced and n_chars follows; every row stays, clean ones as they are, null texts null."""
     return secret_scan.redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document, or piece of a long one, goes."""
+    """Where each document, or piece of a long one, goes; a null or empty text is one piece of no words."""
     return bestfit_pack.pack(docs)
 
 
