@@ -6,8 +6,8 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldlark.functions.scalars import iso_millis
-from fieldlark.operators import aggregates as agg, calibrate as cal, clean, lateness, messages as msg, series, validate as val
+from fieldlark.functions.scalars import iso_millis, numbers, rounded
+from fieldlark.operators import aggregates as agg, calibrate as cal, clean, lateness, messages as msg, series, sets, validate as val
 from fieldlark.plans import catalog
 from fieldlark.session import dimension, kept
 from fieldlark.sources import readers, writers
@@ -104,6 +104,23 @@ def plant(spark: SparkSession, capture: str, ranges: dict[str, tuple[float, floa
     }
 
 
+def evidence(spark: SparkSession, first: str, again: str, other: str, runs: str) -> DataFrame:
+    """(name, passed) of a reproducibility check over what three runs printed and what the log holds.
+
+    Numbers count as sets, rounded to four digits: a seed run twice prints the
+    same ones, another seed others, and a printed number is in the log.
+    """
+
+    def printed(text: str) -> DataFrame:
+        return spark.createDataFrame([(text,)], "text string").select(F.explode(numbers(F.col("text"))).alias("n")).distinct()
+
+    logged = spark.read.schema(writers.RUN).parquet(runs).select(F.explode(F.map_values("metrics")).alias("n")).select(rounded(F.col("n"), 4).alias("n"))
+    a, b, c = map(printed, (first, again, other))
+    checks = (("same seed, same numbers", a, b, "equal"), ("other seed, other numbers", a, c, "not equal"), ("a printed number is logged", a, logged, "common > 0"))
+    out = [sets.comparison(x, y).select(F.lit(name).alias("name"), F.expr(rule).alias("passed")) for name, x, y, rule in checks]
+    return out[0].union(out[1]).union(out[2])
+
+
 def stamped(df: DataFrame, ts: str) -> DataFrame:
     """``df`` with ``ts`` as ISO text in milliseconds, for reports."""
     return df.withColumn(ts, iso_millis(F.col(ts)))

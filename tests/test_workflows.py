@@ -67,3 +67,13 @@ def test_plant(spark, tmp_path):
 def test_exposure(spark):
     df = spark.sql("SELECT timestamp'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, id) AS ts, CAST(id AS double) AS v FROM range(5)")
     assert w.exposure(df, "ts", "v").first()["area"] == 8.0
+
+
+def test_evidence(spark, tmp_path):
+    from fieldlark.sources import writers
+
+    writers.log_run(spark, str(tmp_path / "runs"), "seed-0", {"seed": 0}, {"r2": 0.77554489})
+    text = "slope=0.00576 r2=0.77554489"
+    got = {r["name"]: r["passed"] for r in w.evidence(spark, text, text, "slope=0.00570 r2=0.7577", str(tmp_path / "runs")).collect()}
+    assert got == {"same seed, same numbers": True, "other seed, other numbers": True, "a printed number is logged": True}
+    assert not all(r["passed"] for r in w.evidence(spark, text, "1.5", text, str(tmp_path / "runs")).collect())
