@@ -10,6 +10,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from fieldlark.session import kept, shared_dir  # noqa: F401
 
+#: Texts turned into Python strings at once.
+ROWS = 1024
 #: Text white space of every contract here: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,7 +30,7 @@ def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, T.DataType]],
     names, types = [n for n, _ in fields], [to_arrow_type(t) for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             made = fn(b.column(len(keys)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *(pa.array(c, t) for c, t in zip(made, types))], [*keys, *names])
 

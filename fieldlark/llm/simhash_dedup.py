@@ -31,7 +31,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 FAN = 8
 LEVELS = 4
 BUCKET = FAN**LEVELS
-SLICE = 1 << 20
+#: Pairs of codes compared at once.
+SLICE = 1 << 18
 SEED = 42
 
 
@@ -90,15 +91,15 @@ def _nodes(codes: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray,
     return first, ones | zeros, ones
 
 
-def index_links(bucket: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of codes of one bucket within the radius.
+def index_links(bucket: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of codes of one bucket within the radius, a bounded number at a time.
 
     ``codes`` (uint64) stand bucket by bucket in Gray order, at most
     ``FAN ** LEVELS`` to a bucket.
     """
     n = len(codes)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     sizes = np.diff(np.append(heads, n))
     start, end = np.repeat(heads, sizes), np.repeat(heads + sizes, sizes)
@@ -110,7 +111,6 @@ def index_links(bucket: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.n
         tree.append((FAN**level, mask & ~above[first], pattern, own))
         above = mask[own]
     work = np.cumsum(end - start)
-    lefts, rights = [], []
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + SLICE, "right")))
@@ -126,26 +126,21 @@ def index_links(bucket: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.n
             seen = seen + np.bitwise_count((codes[q] ^ pattern[k]) & residual[k])
             ok = seen <= RADIUS
             q, node, seen = q[ok], node[ok], seen[ok]
-        lefts.append(q)
-        rights.append(node)
+        yield q, node
         at = to
-    return np.concatenate(lefts), np.concatenate(rights)
 
 
-def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index of each code's component over pairs (a, b)."""
-    root = np.arange(n)
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root``, the least index of each code's component so far, with pairs (a, b) joined."""
     while True:
-        low = np.minimum(root[a], root[b])
-        nxt = root.copy()
-        np.minimum.at(nxt, a, low)
-        np.minimum.at(nxt, b, low)
-        np.minimum.at(nxt, root[a], low)
-        np.minimum.at(nxt, root[b], low)
-        nxt = nxt[nxt]
-        if (nxt == root).all():
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
             return root
-        root = nxt
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(nxt := root[root], root):
+            root = nxt
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,8 +149,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def edges(x: pd.DataFrame) -> pd.DataFrame:
         bucket = x["block"].to_numpy(np.int64) << 22 | x["key"].to_numpy(np.int64)
-        a, b = index_links(bucket, x["code"].to_numpy(np.int64).view(np.uint64))
-        root = _stars(len(x), a, b)
+        root = np.arange(len(x))
+        for a, b in index_links(bucket, x["code"].to_numpy(np.int64).view(np.uint64)):
+            root = _merged(root, a, b)
         fp = x["fp"].to_numpy(np.int64)
         moved = root != np.arange(len(x))
         return pd.DataFrame({"a": fp[moved], "b": fp[root[moved]]})

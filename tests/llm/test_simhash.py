@@ -51,7 +51,7 @@ def test_index_finds_every_pair(slice_, monkeypatch):
     bucket = (codes >> np.uint64(42)).astype(np.int64)
     order = np.lexsort((gray(codes), bucket))
     codes, bucket = codes[order], bucket[order]
-    a, b = s.index_links(bucket, codes)
+    a, b = map(np.concatenate, zip(*s.index_links(bucket, codes)))
     want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if bucket[i] == bucket[j] and bin(int(codes[i] ^ codes[j])).count("1") <= 2}
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
 
