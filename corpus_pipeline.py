@@ -25,7 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: the one of least doc_id.
+    """One document of each component of similar texts stays: the one of least doc_id.
+
+    Texts are similar that share four fifths of their five-word shingles.
 
     Of rows that repeat that doc_id one stays. Rows without a doc_id cannot be
     named and stay. Texts without a word form one component.

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fieldlark.llm.common import kept, map_texts, whole
 from fieldlark.llm.components import connected_components
+from fieldlark.llm.similar import similar_texts, text_key
 
 RADIUS = 2
 #: (first bit from the top, width) of the blocks.
@@ -216,12 +217,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_cap: int = BUCKET)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, columns unchanged.
+    """The rows of ``docs`` that stand for their component of ``similar_texts``, columns unchanged.
 
     Of each component the row stays whose doc_id names it; if rows repeat that
     doc_id, one of them. A row without a doc_id cannot be named and stays.
     """
-    found = near_duplicates(docs).where("doc_id = component_id")
+    rows = docs.select("doc_id", text_key("text").alias("key"))
+    named = kept(rows.join(similar_texts(docs).hint("merge"), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root")))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = named.join(least.hint("merge"), "root").where("doc_id = component_id")
     ids = kept(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
     rows = whole(docs, "row").select("row", F.col("row.doc_id").alias("doc_id"))
     # The ids grow with the rows: never broadcast, small or large.

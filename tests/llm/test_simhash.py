@@ -109,3 +109,34 @@ def test_one_row_of_each_component_stays(spark):
     out = s.drop_near_duplicates(df)
     assert out.columns == df.columns
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in out.collect()) == [-1, -1, 4, 7, 8]
+
+
+def grams(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_copies_at_four_fifths_go(spark):
+    """Copies with a word in fifty changed lie more than two bits away; copies of copies may be less alike than 0.8."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        for n in (0, 3, 5, 6, 12):
+            copy = list(base)
+            for at in rng.choice(60, n, replace=False):
+                copy[int(at) * 5] = f"new{rng.integers(0, 10**9)}"
+            texts.append(" ".join(copy))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    far = 0
+    for _ in range(4):
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if len(x & y) / len(x | y) >= 0.8:
+                    far += bin(s.fingerprint(texts[i]) ^ s.fingerprint(texts[j])).count("1") > 2
+                    root[i] = root[j] = min(root[i], root[j])
+    assert far
+    got = s.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
