@@ -29,10 +29,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts are similar that share four fifths of their five-word shingles.
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id cannot be
-    named and stay. Texts without a word form one component.
+    Of rows that repeat that doc_id in the component one stays; unlike texts of
+    one doc_id are documents of their own. Rows without a doc_id come last.
+    Texts without a word form one component.
     """
-    return simhash_dedup.drop_near_duplicates(docs)
+    return simhash_dedup.drop_near_duplicates(docs, keep_unnamed=False)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,21 +216,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_cap: int = BUCKET)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component of ``similar_texts``, columns unchanged.
+def drop_near_duplicates(docs: DataFrame, keep_unnamed: bool = True) -> DataFrame:
+    """One row of ``docs`` for each component of ``similar_texts``, columns unchanged.
 
-    Of each component the row stays whose doc_id names it; if rows repeat that
-    doc_id, one of them. A row without a doc_id cannot be named and stays.
+    The row of least doc_id stays, nulls last; of rows that repeat that doc_id,
+    one by the hash of the row. With ``keep_unnamed`` every row without a
+    doc_id stays as well. Columns of maps are not supported.
     """
-    rows = docs.select("doc_id", text_key("text").alias("key"))
-    named = kept(rows.join(similar_texts(docs).hint("merge"), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root")))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least.hint("merge"), "root").where("doc_id = component_id")
-    ids = kept(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
-    rows = whole(docs, "row").select("row", F.col("row.doc_id").alias("doc_id"))
-    # The ids grow with the rows: never broadcast, small or large.
-    out = rows.join(ids.hint("merge"), "doc_id", "left").where("rows is not null or doc_id is null")
-    once = out.where("rows is null or rows = 1")
-    if not ids.where("rows > 1").isEmpty():
-        once = once.union(out.where("rows > 1").dropDuplicates(["doc_id"]))
+    own, key = F.col("row.doc_id"), text_key("row.text")
+    rows = whole(docs, "row").select("row", key.alias("key"), F.xxhash64("row").alias("hash"))
+    alike = rows.groupBy("key", own.alias("doc_id"), "hash").agg(F.count("*").alias("rows"))
+    alike = kept(alike.join(similar_texts(docs).hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "key", "rows")
+    named = alike.where("doc_id is not null") if keep_unnamed else alike
+    stays = kept(named.groupBy("root").agg(F.min(rank).alias("best")).select("best.key", "best.hash", "best.doc_id", "best.rows"))
+    marks = stays.withColumnRenamed("doc_id", "id")
+    # What stays grows with the rows: never broadcast, small or large.
+    out = rows.join(marks.hint("merge"), ["key", "hash"]).where(own.eqNullSafe(F.col("id")))
+    once = out.where("rows = 1").select("row")
+    if not stays.where("rows > 1").isEmpty():
+        once = once.union(out.where("rows > 1").dropDuplicates(["key"]).select("row"))
+    if keep_unnamed:
+        once = once.union(rows.where(own.isNull()).select("row"))
     return once.select("row.*")

@@ -140,3 +140,15 @@ def test_copies_at_four_fifths_go(spark):
     assert far
     got = s.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+
+
+def test_rows_are_judged_not_ids(spark):
+    """Unlike texts of one id stay, copies under a shared id go, and so do copies without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (5, c), (None, c), (None, d), (None, d), (7, d + " x"), (9, b), (None, "e f g"), (None, "e f g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as hash", "1 as rows", "2 as key")
+    out = s.drop_near_duplicates(df, keep_unnamed=False)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(1, a), (5, b), (5, c), (7, d + " x"), (0, "e f g")])
+    kept = s.drop_near_duplicates(df)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, a), (5, b), (5, c), (7, d + " x"), (0, c), (0, d), (0, d), (0, "e f g"), (0, "e f g")])
