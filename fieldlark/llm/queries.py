@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldlark.llm import bestfit_pack, html_extract, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_output, topk_exact, url_filter
-from fieldlark.llm.common import table
+from fieldlark.llm.common import kept, table
 
 SHARDS = 16
 
@@ -31,9 +31,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.digest(table(spark, sf_dir, "documents"))
-    placed = sharding.shuffle_into_shards(rows, "doc_id", SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = kept(sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), "doc_id", SHARDS), "zstd")
+    size, crc = sharding.digested("text")
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,7 +113,13 @@ def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int =
     return moved.sortWithinPartitions("shard", "slot").select(*(F.col("row")[c].alias(c) for c in own), "shard", "slot")
 
 
+def digested(name: str) -> tuple:
+    """UTF-8 bytes plus one and unsigned CRC-32 of a text; a null text counts as empty."""
+    text = F.coalesce(name, F.lit(""))
+    return (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32): UTF-8 bytes plus one and unsigned CRC-32; a null text counts as empty."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    """(doc_id, size, text_crc32) of each row, as in ``digested``."""
+    size, crc = digested("text")
+    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"))

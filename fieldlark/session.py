@@ -47,15 +47,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Cuts lineage: later jobs neither compute it twice nor depend on an executor
-    that made it. The files go when the driver ends.
+    that made it. The files go when the driver ends. ``codec`` is Parquet's,
+    the session's if not given.
     """
     spark = df.sparkSession
     path = scratch(spark, "kept")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,3 +64,16 @@ def test_cases(spark):
     one = out[out["doc_id"] == 2].iloc[0]
     assert one["size"] == 7 and one["text_crc32"] == zlib.crc32("é😀".encode())
     assert out[out["doc_id"] == 1][["size", "text_crc32"]].values.tolist() == [[1, 0], [1, 0]]
+
+
+def test_query_shuffles_the_texts(spark, tmp_path, monkeypatch):
+    from fieldlark.llm import queries
+
+    rows = [(i, f"text {i} " * (i % 9), "en") for i in range(200)] + [(None, None, "de"), (7, "z" * 100_000, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, shuffle = [], s.shuffle_into_shards
+    monkeypatch.setattr(s, "shuffle_into_shards", lambda df, *a: seen.append(shuffle(df, *a)) or seen[-1])
+    out = queries.op6_sharding(spark, str(tmp_path)).collect()
+    assert seen[0].columns == ["doc_id", "text", "lang", "shard", "slot"]
+    moved = sorted((r["shard"], r["slot"], r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in seen[0].collect())
+    assert moved == sorted((r["shard"], r["slot"], r["doc_id"], r["size"], r["text_crc32"]) for r in out) and len(out) == 202
