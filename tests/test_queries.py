@@ -49,3 +49,16 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_missing_reports_the_whole_roster(spark):
+    """Past the ids that the SQL of these queries stops at (c_custkey < 160)."""
+    sf = "/root/testdata/sf0.1"
+    customers = f"SELECT c_custkey AS sensor_id FROM '{sf}/customer.parquet'"
+    views = f"SELECT user_id AS sensor_id, count(DISTINCT ts) AS n FROM '{sf}/events.parquet' WHERE event_type = 'view' GROUP BY 1"
+    want = duckdb.sql(f"SELECT sensor_id, coalesce(n, 0) AS n FROM ({customers}) LEFT JOIN ({views}) USING (sensor_id)").fetchall()
+    got = core.QUERIES["agg05_missing_all"](spark, sf).collect()
+    assert sorted((r["sensor_id"], r["received"]) for r in got) == sorted(want) and len(got) > 159
+    first = [r["sensor_id"] for r in sorted(got, key=lambda r: (-r["missing"], r["sensor_id"]))[:5]]
+    for name in ("agg05_missing_intervals", "sql_b_missing_intervals"):
+        assert sorted(r["sensor_id"] for r in core.QUERIES[name](spark, sf).collect()) == sorted(first)
