@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -25,6 +26,14 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def majority(codes: np.ndarray) -> int:
+    """The unsigned 64-bit number of the bits set in over half of ``codes`` (n x 8 bytes)."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(codes), 65536):
+        counts += np.unpackbits(codes[k : k + 65536], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(codes)).tobytes(), "big")
+
+
 def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, T.DataType]], fn: Callable[[list[str | None]], list[list]], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keys, *fields): ``fn`` makes the fields' columns from a batch of texts; keys pass through as they are."""
     names, types = [n for n, _ in fields], [to_arrow_type(t) for _, t in fields]

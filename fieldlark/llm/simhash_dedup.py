@@ -22,7 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fieldlark.llm.common import kept, map_texts, whole
+from fieldlark.llm.common import kept, majority, map_texts, whole
 from fieldlark.llm.components import connected_components
 from fieldlark.llm.similar import similar_texts, text_key
 
@@ -57,10 +57,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
     digest = xxhash.xxh64_digest
     codes = np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in spans]), np.uint8).reshape(-1, 8)
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(codes), 65536):
-        counts += np.unpackbits(codes[k : k + 65536], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(codes)).tobytes(), "big")
+    return majority(codes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -226,7 +223,7 @@ def drop_near_duplicates(docs: DataFrame, keep_unnamed: bool = True) -> DataFram
     own, key = F.col("row.doc_id"), text_key("row.text")
     rows = whole(docs, "row").select("row", key.alias("key"), F.xxhash64("row").alias("hash"))
     alike = rows.groupBy("key", own.alias("doc_id"), "hash").agg(F.count("*").alias("rows"))
-    alike = kept(alike.join(similar_texts(docs).hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    alike = kept(alike.join(similar_texts(docs, links).hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "key", "rows")
     named = alike.where("doc_id is not null") if keep_unnamed else alike
     stays = kept(named.groupBy("root").agg(F.min(rank).alias("best")).select("best.key", "best.hash", "best.doc_id", "best.rows"))

@@ -1,20 +1,28 @@
 """Texts that share at least four fifths of their five-word shingles.
 
-Candidates share one of ``BANDS`` bands of ``WIDTH`` minima each; a pair at a
-similarity of exactly 0.8 shares none with a probability of 5e-8. Every link is
-confirmed on the two whole shingle sets. Each band's texts are held against one
-of them first; only pairs that this leaves in unlike components are compared
-one by one, so that a large group of near copies of one text stays cheap. No
-band is capped.
+Candidates share a block. Blocks are the components of the Gray-ordered SimHash
+index over the same shingles, and ``BANDS`` bands of ``WIDTH`` minima for what
+lies further apart than its radius: a pair at a similarity of exactly 0.8 shares
+no band with a probability of 5e-8. Every link is confirmed on the two whole
+shingle sets.
+
+Texts of a block are held against one of them, its hub, first, so a large group
+of copies of one text costs as much as its members. Texts that this leaves
+apart are compared if they can still be alike: with the shingles that the hub
+lacks in front, two texts at 0.8 have their first common shingle near the front
+of both, and enough shingles behind it. Copies with changes of their own are so
+told apart without being paired. No block is capped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fieldlark.llm.common import kept, map_texts
+from fieldlark.llm.common import kept, majority, map_texts
 from fieldlark.llm.components import connected_components
 
 SHINGLE = 5
@@ -55,52 +63,143 @@ def bands(grams: np.ndarray) -> np.ndarray:
 
 def _signed(texts: list[str | None]) -> list:
     grams = [shingles(t) for t in texts]
-    return [[bands(g).view(np.int64) for g in grams], [len(g) for g in grams]]
+    prints = np.array([majority(g.view(np.uint8).reshape(-1, 8)) for g in grams], np.uint64).view(np.int64)
+    return [prints, [bands(g).view(np.int64) for g in grams], [len(g) for g in grams]]
 
 
 def _sets(texts: list[str | None]) -> list:
     return [[shingles(t).view(np.int64) for t in texts]]
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets have a Jaccard similarity of 0.8 or more."""
-    of_a, of_b = (sets.select(F.col("key").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    both = pairs.join(of_a, "a").join(of_b, "b")
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` of keys with the shingle sets of both as ``ga`` and ``gb``."""
+    for key, name in ((a, "ga"), (b, "gb")):
+        pairs = pairs.join(sets.select(F.col("key").alias(key), F.col("grams").alias(name)).hint("merge"), key)
+    return pairs
+
+
+def _hubs(shared: DataFrame) -> DataFrame:
+    """(block, hub) from (block, key, met): the member that meets most, or else its own hub.
+
+    A hub that shares two blocks or more with a text that meets more gives way
+    to it, twice over: copies of one text then mostly have that text as hub.
+    """
+    hubs = kept(shared.groupBy("block").agg(F.max(F.struct("met", "key")).alias("top")).select("block", "top"))
+    own = kept(shared.join(kept(hubs.select(F.col("top.key").alias("key")).distinct()).hint("merge"), "key", "left_semi"))
+    often = own.join(hubs.hint("merge"), "block").groupBy("key", "top").agg(F.count("*").alias("n")).where("n > 1 or key = top.key")
+    above = kept(often.groupBy("key").agg(F.max("top")["key"].alias("up")))
+    over = above.select(F.col("key").alias("up"), F.col("up").alias("over"))
+    above = above.join(over.hint("merge"), "up").select(F.col("key").alias("hub"), F.col("over").alias("up"))
+    return hubs.select("block", F.col("top.key").alias("hub")).join(kept(above).hint("merge"), "hub").select("block", F.col("up").alias("hub"))
+
+
+def _against_hubs(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """``stars`` (key, hub) with sizes n and m, ``both`` (shared shingles) and ``front``.
+
+    ``front`` is the beginning of the text's shingles, those that the hub lacks
+    before the others and each part in order, as far as the first one common
+    with a text at 0.8 can lie.
+    """
+    rows = _with_sets(stars, sets, "key", "hub")
+    common, own = F.array_intersect("ga", "gb"), F.array_except("ga", "gb")
+    rows = rows.select("key", "hub", F.size("ga").alias("n"), F.size("gb").alias("m"), F.size(common).alias("both"), F.concat(own, common).alias("grams"))
+    return rows.select("key", "hub", "n", "m", "both", F.expr("slice(grams, 1, n div 5 + 1)").alias("front"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their key, itself if it has none."""
+    rows = rows.join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left")
+    return rows.withColumn("root", F.coalesce("root", "key"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The ``rows`` of slots that hold more than one component."""
+    of = rows.select("slot", F.xxhash64("root").alias("r")).groupBy("slot").agg(F.min("r").alias("low"), F.max("r").alias("high"))
+    return kept(rows.join(kept(of.where("low <> high").select("slot")).hint("merge"), "slot"))
+
+
+def _slots(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(slot, key, n, root, at): where the fronts of texts of one hub, but unlike components, meet."""
+    placed = kept(_rooted(met.select("key", "hub", "n", "front"), roots))
+    hubs = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"))
+    hubs = kept(hubs.where("low <> high").select("hub", "least"))
+    # Of n and m shingles 4/9 (n + m) must be common, none before ``at``; the other text has at least ``least``.
+    rows = placed.join(hubs.hint("merge"), "hub").select("key", "hub", "n", "root", "least", F.posexplode("front").alias("at", "gram"))
+    rows = rows.where("4 * (n + greatest(least, ceil(0.8 * n))) <= 9 * (n - at)")
+    return _mixed(rows.select(F.xxhash64("hub", "gram").alias("slot"), "key", "n", "root", "at"))
+
+
+CAN_BE = "root <> other and 4 * (n + m) <= 9 * least(n - at, m - bt)"
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _to_first(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text of a slot with that of fewest shingles in front of it."""
+    first = rows.groupBy("slot").agg(F.min(F.struct("at", "key", "n", "root")).alias("first"))
+    first = kept(first.selectExpr("slot", "first.key as b", "first.n as m", "first.root as other", "first.at as bt"))
+    return _ordered(rows.join(first.hint("merge"), "slot").where(CAN_BE).selectExpr("key as a", "b"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a slot in unlike components that can be alike."""
+    # The largest component of a slot is not paired with itself, however large.
+    main = rows.groupBy("slot", "root").agg(F.count("*").alias("c")).groupBy("slot").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    rows = kept(rows.join(kept(main).hint("merge"), "slot"))
+    left = rows.where("root <> main").selectExpr("slot", "key as a", "n", "root", "at")
+    right = rows.selectExpr("slot", "key as b", "n as m", "root as other", "at as bt", "root = main as large")
+    return _ordered(left.join(right.hint("merge"), "slot").where("large or a < b").where(CAN_BE))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) at 0.8 or more."""
     shared, sizes = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
-    return both.where(9 * shared >= 4 * sizes).select("a", "b")
+    return kept(_with_sets(pairs, sets, "a", "b").where(9 * shared >= 4 * sizes).select("a", "b"))
+
+
+def _linked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after ``links`` (a, b) of nodes have joined components."""
+    for end in "ab":
+        links = _rooted(links.withColumnRenamed(end, "key"), roots).drop("key").withColumnRenamed("root", end)
+    more = kept(connected_components(links))
+    new = more.join(roots.select("node").hint("merge"), "node", "left_anti")
+    top = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.join(top.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(new.select("node", "root"))
 
 
-def similar_texts(docs: DataFrame) -> DataFrame:
+def similar_texts(docs: DataFrame, index: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(key, root) of every text of ``docs`` that another one is similar to, directly or through others.
 
-    ``key`` is ``text_key``; ``root`` is some key of the component. Null and
-    empty texts, and texts without a word, are similar to each other.
+    ``key`` is ``text_key``; ``root`` is some key of the component. ``index``
+    makes links (a, b) of distinct fingerprints (fp). Null and empty texts, and
+    texts without a word, are similar to each other.
     """
     keyed = docs.select(text_key("text").alias("key"), "text")
     longs = T.ArrayType(T.LongType())
-    prints = kept(map_texts(keyed, "text", [("codes", longs), ("n", T.IntegerType())], _signed, ("key",)))
-    prints = kept(prints.groupBy("key").agg(F.first("codes").alias("codes"), F.first("n").alias("n")))
-    rows = prints.select("key", F.explode("codes").alias("band"))
-    shared = rows.join(rows.groupBy("band").agg(F.count("*").alias("peers")).where("peers > 1").hint("merge"), "band")
-    shared = kept(shared.join(prints.select("key", "n"), "key"))
+    prints = kept(map_texts(keyed, "text", [("fp", T.LongType()), ("codes", longs), ("n", T.IntegerType())], _signed, ("key",)))
+    prints = kept(prints.groupBy("key").agg(F.first("fp").alias("fp"), F.first("codes").alias("codes")))
+    near = connected_components(index(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    blocks = prints.select("key", F.explode("codes").alias("block"))
+    blocks = blocks.union(prints.join(near.hint("merge"), "fp", "left").select("key", F.xxhash64(F.coalesce("root", "fp"), F.lit("index"))))
+    peers = kept(blocks.groupBy("block").agg(F.count("*").alias("peers")).where("peers > 1"))
+    shared = kept(blocks.join(peers.hint("merge"), "block"))
     # Each text travels once, as text: shingle sets are larger and made only of those with a candidate.
-    asked = keyed.dropDuplicates(["key"]).join(shared.select("key").distinct().hint("merge"), "key", "left_semi")
+    asked = keyed.dropDuplicates(["key"]).join(kept(shared.select("key").distinct()).hint("merge"), "key", "left_semi")
     sets = kept(map_texts(asked, "text", [("grams", longs)], _sets, ("key",)))
 
     # The text that meets most others is the likeliest to be what the others are copies of.
-    shared = kept(shared.join(shared.groupBy("key").agg(F.sum("peers").alias("met")), "key").select("band", "key", "n", "met"))
-    heads = shared.groupBy("band").agg(F.max(F.struct("met", "key", "n")).alias("head"))
-    stars = shared.join(heads, "band").select("key", "n", F.col("head.key").alias("other"), F.col("head.n").alias("m"))
-    close = "5 * least(n, m) >= 4 * greatest(n, m)"
-    stars = stars.where("key <> other").where(close).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-    stars = kept(stars.distinct())
-    sure = kept(_confirmed(stars, sets))
-
-    roots = connected_components(sure).withColumnRenamed("node", "key")
-    placed = kept(shared.join(roots, "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
-    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    left = kept(placed.join(split, "band"))
-    right = left.select("band", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = left.withColumnRenamed("key", "a").join(right, "band").where("a < b and root <> other").where(close)
-    rest = kept(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    return connected_components(sure.union(_confirmed(rest, sets))).withColumnRenamed("node", "key")
+    shared = kept(shared.join(kept(shared.groupBy("key").agg(F.sum("peers").alias("met"))).hint("merge"), "key").select("block", "key", "met"))
+    hubs = kept(_hubs(shared))
+    stars = kept(shared.join(hubs.hint("merge"), "block").where("key <> hub").select("key", "hub").distinct())
+    met = kept(_against_hubs(stars, sets))
+    sure = met.where("9 * both >= 4 * (n + m)").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+
+    roots = kept(connected_components(sure))
+    rows = _slots(met, roots)
+    if not rows.isEmpty():
+        roots = kept(_linked(roots, _alike(kept(_to_first(rows)), sets)))
+        rows = _mixed(_rooted(rows.drop("root"), roots))
+        roots = _linked(roots, _alike(kept(_apart(rows)), sets))
+    return roots.withColumnRenamed("node", "key")
