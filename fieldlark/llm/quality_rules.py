@@ -44,14 +44,16 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = _once(df, "_w", r"if(_trim = '', array(), split(_trim, '[\\x20\\x09-\\x0D]+', -1))")
     df = _once(df, "_lines", f"filter(split(_t, '\\n', -1), l -> trim(BOTH '{BLANK}' FROM l) <> '')")
     df = _once(df, "_h", "transform(_w, w -> xxhash64(w))")
-    # Hashes of all windows of three words; beside each other if equal, once sorted with their place in the low bits.
+    # Hashes of all windows of three words. Sorted by their upper 33 bits with the place below, those that share
+    # these bits with no other are single; the rest, few unless the text repeats itself, are sorted by the whole hash.
     df = _once(df, "_win", "if(size(_h) < 3, cast(array() as array<bigint>), transform(sequence(0, size(_h) - 3), i -> xxhash64(_h[i], _h[i + 1], _h[i + 2])))")
-    bits = "case when size(_win) < 1024 then 10 when size(_win) < 8192 then 13 when size(_win) < 65536 then 16 when size(_win) < 1048576 then 20 else 31 end"
-    df = _once(df, "_bits", bits)
-    df = _once(df, "_low", "shiftleft(1L, _bits) - 1")
-    df = _once(df, "_s", "sort_array(transform(_win, (h, i) -> shiftleft(h, _bits) | i))")
-    same = "(shiftright(x, _bits) = shiftright(_s[{0}], _bits) and _win[cast(x & _low as int)] = _win[cast(_s[{0}] & _low as int)])"
-    df = _once(df, "_f", f"sort_array(transform(filter(_s, (x, k) -> (k > 0 and {same.format('k - 1')}) or (k < size(_s) - 1 and {same.format('k + 1')})), x -> x & _low))")
+    df = _once(df, "_s", "sort_array(transform(_win, (h, i) -> shiftleft(h, 31) | i))")
+    beside = "(k > 0 and {0} = {1}) or (k < size({3}) - 1 and {0} = {2})"
+    near = beside.format("shiftright(x, 31)", "shiftright(_s[k - 1], 31)", "shiftright(_s[k + 1], 31)", "_s")
+    df = _once(df, "_c", f"transform(filter(_s, (x, k) -> {near}), x -> cast(x & 2147483647L as int))")
+    df = _once(df, "_e", "sort_array(transform(_c, i -> struct(_win[i] as h, i as i)))")
+    same = beside.format("x.h", "_e[k - 1].h", "_e[k + 1].h", "_e")
+    df = _once(df, "_f", f"sort_array(transform(filter(_e, (x, k) -> {same}), x -> cast(x.i as bigint)))")
     stats = {
         "n_words": "size(_w)",
         "word_chars": "length(array_join(_w, ''))",

@@ -42,6 +42,17 @@ def test_statistics_against_counting(spark):
         assert tuple(r[n] for n in q.BASE) == plain(rows[r["doc_id"]][1]), rows[r["doc_id"]][1][:80]
 
 
+def test_repeats_in_a_very_long_text(spark):
+    """Over 2^20 windows, three quarters of them repeated, of more kinds than can have upper bits of their own."""
+    rng = np.random.default_rng(9)
+    once = [f"u{i}" for i in range(280_000)]
+    pairs = [f"r{i}" for i in range(420_000)]
+    words = [*once, *pairs, "middle", *(pairs[i] for k in rng.permutation(4200) for i in range(100 * k, 100 * k + 100))]
+    text = " ".join(words)
+    (row,) = q.statistics(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["n_words"] > 1 << 20 and tuple(row[n] for n in q.BASE) == plain(text)
+
+
 def test_learns_planted_rules():
     rng = np.random.default_rng(0)
     rows = []
