@@ -200,26 +200,33 @@ class Codec:
         """Where a text may be cut; its leading space is put first, as the library does."""
         return self.cut(" " + text.replace(SPACE, " ")) if text else []
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """(ids as text, decoded text) of each text, without end id; learnt for a bounded number of texts at once."""
+    def encode_batch(self, texts: list[str]) -> Iterator[str]:
+        """Ids, as text, of each text without end id; learnt for a bounded number of texts at once."""
         for k in range(0, len(texts), 256):
             cuts = [self.stretches(t) for t in texts[k : k + 256]]
             made = self.learn(set().union(*cuts))
             known = self.known
             for c in cuts:
                 try:
-                    ids = " ".join(map(known.__getitem__, c))
+                    yield " ".join(map(known.__getitem__, c))
                 except KeyError:  # too long to remember
-                    ids = " ".join([known[s] if s in known else made[s] for s in c])
-                yield ids, "".join(c)[1:]
+                    yield " ".join([known[s] if s in known else made[s] for s in c])
 
     def encode(self, text: str, end: bool = True) -> list[int]:
-        ids = [int(i) for i in next(self.encode_batch([text]))[0].split()]
+        ids = [int(i) for i in next(self.encode_batch([text])).split()]
         return ids + [self.end] if end else ids
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.bytes_of(ids)
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        """The text of ``ids``; the library has agreed to it, or made it if they hold what no text encodes to."""
+        try:
+            text = self.bytes_of(ids).removeprefix(b" ").decode("utf-8")
+        except UnicodeDecodeError:
+            return self.library.decode(ids)
+        if self.check and (made := self.library.decode(ids)) != text:
+            if self.library.unk_id() in ids:
+                return made
+            raise ValueError(f"library and table decode {ids[:20]} ... differently")
+        return text
 
 
 _codecs: dict[tuple[str, bool], Codec] = {}
@@ -236,7 +243,7 @@ def digest_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of ``docs``.
 
     Ids are those of the sentencepiece library with an end id; the decoded
-    text is the library's for these ids. A null or empty text has the end id
+    text is made from these ids, all of them, and is the library's. A null or empty text has the end id
     alone and decodes to "". Null and repeated doc_ids keep their rows; very
     long texts are encoded whole; an empty table gives an empty result; extra
     columns are not read.
@@ -245,11 +252,12 @@ def digest_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(texts: list[str | None]) -> list:
         c = codec(path or public_tokenizer())
         n, ids, decoded = [], [], []
-        for spelt, text in c.encode_batch([t or "" for t in texts]):
+        for spelt in c.encode_batch([t or "" for t in texts]):
             spelt = f"{spelt} {c.end}" if spelt else str(c.end)
-            n.append(spelt.count(" ") + 1)
+            own = np.fromstring(spelt, np.int32, sep=" ").tolist()
+            n.append(len(own))
             ids.append(hashlib.sha256(spelt.encode()).hexdigest())
-            decoded.append(hashlib.sha256(text.encode()).hexdigest())
+            decoded.append(hashlib.sha256(c.decode(own).encode()).hexdigest())
         return [n, ids, decoded]
 
     return map_texts(docs, "text", [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], run)
@@ -260,7 +268,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(texts: list[str | None]) -> list:
         c = codec(path or public_tokenizer())
-        return [[np.array([*spelt.split(), c.end], np.int32) for spelt, _ in c.encode_batch([t or "" for t in texts])]]
+        return [[np.array([*spelt.split(), c.end], np.int32) for spelt in c.encode_batch([t or "" for t in texts])]]
 
     return map_texts(docs, "text", [("ids", T.ArrayType(T.IntegerType()))], run)
 

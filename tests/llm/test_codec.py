@@ -60,3 +60,16 @@ def test_round_trip(spark):
     back = {r["doc_id"]: r["text"] for r in c.decode_documents(c.encode_documents(df)).collect()}
     assert back == {1: "a b\nc", 2: ""}
     assert os.path.exists(c.public_tokenizer())
+
+
+def test_decoding_reads_the_ids():
+    """The decoded text is made from ids, not from what was encoded; ids that no text has are the library's."""
+    ids = CODEC.encode("some text")
+    other = CODEC.encode("another")
+    assert CODEC.decode(ids[:-1] + other) == CODEC.library.decode(ids[:-1] + other)
+    odd = [CODEC.byte_id[0xC3], CODEC.byte_id[0x41], CODEC.library.unk_id()]
+    assert CODEC.decode(odd) == CODEC.library.decode(odd)
+    wrong = c.Codec(c.public_tokenizer())
+    wrong.raw[ids[0]] = b"x"
+    with pytest.raises(ValueError):
+        wrong.decode(ids)
