@@ -4,7 +4,8 @@ One Aho-Corasick automaton over the ASCII-lower-cased text finds every
 keyword. A pattern is only tried where one of its keywords starts, from left to
 right and never inside a match of its own kind. Kinds that carry a checksum or
 an encoded header are kept only if that is right. Runs of hexadecimal digits
-have no keyword and are found by their length.
+have no keyword: one search of the whole text finds them by their length.
+Every search takes time in proportion to the text, whatever it repeats.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import json
 import re
 import zlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fieldlark.llm.common import map_texts, whole
@@ -38,7 +38,8 @@ KEYWORDS = {
 FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 REGISTRY = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 WEBTOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END \1-----")
+PART = re.compile(r"[A-Za-z0-9_-]+")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,13 +72,33 @@ def _token_header(m: re.Match) -> bool:
     return isinstance(head, dict) and "alg" in head
 
 
+def _key_body(m: re.Match) -> bool:
+    """The body of a private key: base64 of an OpenSSH key, of DER of the length it states, or of enciphered blocks."""
+    head, blank, rest = m.group(2).strip().replace("\r", "").partition("\n\n")
+    if not blank or ":" not in head:
+        head, rest = "", f"{head}\n{rest}"
+    try:
+        key = base64.b64decode("".join(rest.split()), validate=True)
+    except (binascii.Error, ValueError):
+        return False
+    if "ENCRYPTED" in head:
+        return len(key) > 0 and len(key) % 8 == 0
+    if key.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(key) < 2 or key[0] != 0x30:
+        return False
+    more = key[1] - 128 if key[1] > 128 else 0
+    size = int.from_bytes(key[2 : 2 + more], "big") if more else key[1]
+    return len(key) == 2 + more + size
+
+
 RULES = {
     "assign": (ASSIGN, lambda m: len(m.group(2)) >= LEAST["assign"]),
     "access": (ACCESS, lambda m: len(m.group()) >= LEAST["access"]),
     "forge": (FORGE, _body_checksum),
     "registry": (REGISTRY, _body_checksum),
     "webtoken": (WEBTOKEN, _token_header),
-    "pem": (PEM, lambda m: True),
+    "pem": (PEM, _key_body),
 }
 
 _automaton = None
@@ -111,10 +132,14 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
         pattern, good = RULES[kind]
         free = 0
         for s in sorted(at):
-            if s >= free and (m := pattern.match(text, s)):
+            if s < free:
+                continue
+            if m := pattern.match(text, s):
                 free = m.end()
                 if good(m):
                     found.append((s, free, kind))
+            elif kind == "webtoken":  # its parts end where they end from any start within the first
+                free = PART.match(text, s).end() if text.startswith("eyJ", s) else free
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -168,11 +193,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced and, where that changed it, ``n_chars`` counted anew; no row goes."""
 
-    @F.pandas_udf("string")
-    def clean(text: pd.Series) -> pd.Series:
-        return text.map(redacted, na_action="ignore")
-
-    out = whole(docs, "row").select("row", clean("row.text").alias("text"))
+    rows = whole(docs, "row").select("row", F.col("row.text").alias("own"))
+    out = map_texts(rows, "own", [("text", T.StringType())], lambda texts: [list(map(redacted, texts))], ("row",))
     columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in columns:
         same = F.col("text").eqNullSafe(F.col("row.text"))

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import textwrap
+import time
 
 from hypothesis import given, settings, strategies as st
 
@@ -61,3 +64,33 @@ def test_redact_keeps_rows_and_columns(spark):
     assert (got[1]["text"], got[1]["n_chars"]) == ("[secret]", 8)
     assert (got[2]["text"], got[2]["n_chars"]) == ("clean", None)
     assert (got[3]["text"], got[3]["n_chars"]) == (None, 7)
+
+
+def der(n):
+    """``n`` bytes as a DER sequence, in base64 lines."""
+    raw = b"\x30\x82" + n.to_bytes(2, "big") + bytes(range(256)) * (n // 256) + bytes(n % 256)
+    return "\n".join(textwrap.wrap(base64.b64encode(raw).decode(), 64))
+
+
+def test_private_keys():
+    pem = lambda body, kind="RSA PRIVATE KEY": f"x -----BEGIN {kind}-----\n{body}\n-----END {kind}----- y"
+    found = lambda t: [x for x in s.find_secrets(t) if x[2] == "pem"]
+    enciphered = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\n" + base64.b64encode(b"x" * 64).decode()
+    opened = base64.b64encode(b"openssh-key-v1\0" + b"k" * 40).decode()
+    for body, kind in ((der(600), "RSA PRIVATE KEY"), (der(600).replace("\n", "\r\n"), "PRIVATE KEY"), (enciphered, "RSA PRIVATE KEY"), (opened, "OPENSSH PRIVATE KEY")):
+        t = pem(body, kind)
+        assert found(t) == [(2, len(t) - 2, "pem")]
+        assert s.redacted(t) == "x [secret] y"
+    cut = der(600).split("\n")
+    for body in ("hello", "", "\n".join(cut[1:]), "\n".join(cut[:-1]), enciphered[:-3], "é" * 40):
+        assert found(pem(body)) == []
+    assert found(pem(der(600)).replace("END RSA", "END EC")) == []
+    two = pem(der(300)) + pem("hello") + pem(der(300))
+    assert len(found(two)) == 2
+
+
+def test_time_grows_with_the_text():
+    for part in ("eyJ", "eyJ.", "eyJa.eyJ", "-----BEGIN PRIVATE KEY-----", "-----BEGIN ", "token", "token  ", "AKIA", "ghp_", "0123456789abcdef g "):
+        began = time.process_time()
+        s.find_secrets(part * (2_000_000 // len(part)))
+        assert time.process_time() - began < 20, part
