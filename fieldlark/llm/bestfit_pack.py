@@ -1,7 +1,7 @@
 """Best-fit packing of documents into bins under conflicts.
 
 A bin takes no two documents of one source and no two of one duplicate
-cluster. Documents are dealt by a hash of their id into groups of bounded
+cluster. Documents are dealt by a hash of their row into groups of bounded
 size; each group is packed on its own, longest first. Its bins stand in order
 of room left, each with a bitmap of sources and one of clusters; the search
 starts at the least room that is enough and goes on to the next bin until one
@@ -65,7 +65,7 @@ def pack_table(x: pa.Table, capacity: int) -> pa.Table:
 
 def text_cluster(text):
     """Copies that differ in case or white space alone share it."""
-    return F.xxhash64(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster: str | None = None) -> DataFrame:
@@ -79,7 +79,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster:
     rest, which go to different bins. A null or empty text, or one without a
     word, is one piece of no words; such pieces keep to the same rules. Null
     sources count as one source; null clusters as one cluster. Null doc_ids
-    and repeated rows keep their pieces; repeated rows are of one cluster. Of
+    and repeated rows keep their pieces; repeated rows are of one cluster and
+    dealt over all groups. Of
     pieces of equal length the one of the lesser hash of id and cluster, then
     the earlier piece, is placed first; of equally tight bins the older takes
     it. An empty table gives an empty result; extra columns are not read.
@@ -88,7 +89,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster:
     groups = max(1, -(-n // group))
     own = F.col(cluster) if cluster else text_cluster(F.col("text"))
     rows = docs.select("doc_id", "source", own.cast("string").alias("cluster"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_all"))
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
+    # Repeated rows, counted before they travel, are dealt over all groups.
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")).withColumn("_k", F.explode(F.expr("sequence(1L, _n)")))
+    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster", "_k"), F.lit(groups)))
     pieces = F.expr(f"transform(sequence(0, greatest(_all - 1, 0) div {capacity}), k -> struct(cast(k as int) as piece, k * {capacity} as start_word, least(_all - k * {capacity}, {capacity}) as n_words))")
     rows = rows.withColumn("_piece", F.explode(pieces)).select("doc_id", "source", "cluster", "pack_group", F.xxhash64("doc_id", "cluster").alias("_order"), "_piece.*")
     id_type = docs.schema["doc_id"].dataType

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from fieldlark.llm.common import ROWS
+
 ROW = 2048
 #: Tokens of a window, above which its documents are packed and sent out.
 WINDOW = 1 << 21
@@ -140,8 +142,8 @@ def packed_rows(docs: DataFrame, path: str | None = None, row: int = ROW, window
     Every document ends with the end id, so a null or empty text is one token.
     Documents over a row are cut into whole rows and a rest. Null doc_ids and
     repeated rows keep their segments. Of pieces of equal length the earlier in
-    the window is placed first. An empty table gives no row. Extra
-    columns are not read. ``part`` and ``row`` name a row.
+    the window is placed first; of equally full rows the one filled last takes
+    it. An empty table gives no row. Extra columns are not read. ``part`` and ``row`` name a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,7 @@ def packed_rows(docs: DataFrame, path: str | None = None, row: int = ROW, window
             columns = [[part] * len(rows), range(n, n + len(rows)), *map(list, zip(*rows))]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], SCHEMA.names)
 
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.append((d, tok.ids(t or "")))
                 size += len(held[-1][1])

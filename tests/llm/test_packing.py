@@ -102,3 +102,16 @@ def test_packed_rows_round_trip(spark, tmp_path):
     assert o.packed_rows(df.limit(0)).count() == 0
     o.write_packed(df, str(tmp_path / "out"), row=64)
     assert spark.read.parquet(str(tmp_path / "out")).schema == o.SCHEMA
+
+
+def test_many_repeated_rows_are_dealt_out(spark):
+    """Equal rows conflict with each other: in one group their cost would grow with the square of their number."""
+    df = spark.range(100_000).selectExpr("if(id < 50000, 1, null) as doc_id", "'same text' as text", "'s' as source")
+    got = p.pack(df).groupBy("pack_group").count().collect()
+    assert sum(r["count"] for r in got) == 100_000 and max(r["count"] for r in got) < 1.3 * p.GROUP
+
+
+def test_clusters_ignore_case_and_blanks(spark):
+    df = spark.createDataFrame([(1, "a b", "s"), (2, "A  b ", "t"), (3, "\ta\nB", "u"), (4, "a bb", "v")], "doc_id long, text string, source string")
+    marks = {r["doc_id"]: r["c"] for r in df.select("doc_id", p.text_cluster(df["text"]).alias("c")).collect()}
+    assert marks[1] == marks[2] == marks[3] != marks[4]
