@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact sizes.
 
-Rows fall into logical parts by a hash of their key. How many rows of each part
+Rows fall into logical parts by a hash of their key and their other columns. How many rows of each part
 go to each shard is drawn exactly (multivariate hypergeometric), as a uniform
 permutation of all rows would have it. Each part permutes its rows and deals
 them out by its line of that matrix, rows are exchanged, and each shard
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fieldlark.llm.common import column, whole
 
 SEED = 20240229
-#: Rows of a logical part, and the most parts: bounds the matrix and its broadcast.
-PART_ROWS, MOST_PARTS = 8192, 4096
+#: Rows of a logical part, and the most parts: bounds the matrix and its broadcast (16 MB for 16 shards).
+PART_ROWS, MOST_PARTS = 8192, 1 << 16
 #: Slots of a shard that are written side by side.
 RUN = 4096
 
@@ -77,12 +77,14 @@ def permuted(place: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int = SEED) -> DataFrame:
     """``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 within the shard).
 
-    Shard sizes are at most one apart, the larger ones first, and every row has
-    the same chance of every place. Rows lie by shard and slot afterwards.
-    Columns of ``rows`` named shard or slot give way. ``key`` should name rows; rows with a null or repeated key share a part,
-    whose order among them is then by their other columns' hash, equal rows in
-    any order. With fewer rows than shards the last shards are empty; an empty
-    table gives an empty result.
+    Shard sizes are at most one apart, the larger ones first. The counts are
+    drawn by the exact law; the places are pseudo-random, by ``seed``. Rows lie
+    by shard and slot afterwards. Columns of ``rows`` named shard or slot give
+    way. Rows are dealt by ``key`` and a hash of all other columns, so null and
+    repeated keys fall into parts of their own; rows equal in every column
+    share a part, in any order. With fewer rows than shards the last shards are
+    empty; an empty table gives an empty result. Columns of maps are not
+    supported.
     """
     spark = rows.sparkSession
     own = [c for c in rows.columns if c not in ("shard", "slot")]
@@ -90,7 +92,8 @@ def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int =
     rows = whole(rows.select(*map(column, own)), "row").select("row", F.col("row")[key].alias("key"))
     total = rows.count()
     parts = max(1, min(MOST_PARTS, -(-total // PART_ROWS)))
-    part = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(parts)).cast("int")
+    mark = [F.xxhash64("key", *others, F.lit(seed + k)) for k in (0, 1)]
+    part = F.pmod(mark[0], F.lit(parts)).cast("int")
     counts = dict(rows.select(part.alias("_part")).groupBy("_part").count().collect())
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     matrix = communication_matrix([counts.get(i, 0) for i in range(parts)], sizes, seed)
@@ -98,8 +101,7 @@ def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int =
     before = np.cumsum(matrix, axis=0) - matrix
     # At most MOST_PARTS lines, so small at any size of the table.
     plan = spark.createDataFrame([(i, ends[i].tolist(), (before[i] - ends[i] + matrix[i]).tolist()) for i in range(parts)], "_part int, _ends array<long>, _base array<long>")
-    order = [F.xxhash64("key", F.lit(seed + 1)), *([F.xxhash64(*others)] if others else [])]
-    dealt = rows.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    dealt = rows.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(mark[1])) - 1)
     dealt = dealt.join(F.broadcast(plan), "_part").withColumn("shard", F.expr("cast(size(filter(_ends, e -> e <= _rank)) as int)"))
     dealt = dealt.withColumn("_place", F.expr("_base[shard] + _rank")).withColumn("_size", F.element_at(F.array(*[F.lit(s).cast("long") for s in sizes]), F.col("shard") + 1))
 

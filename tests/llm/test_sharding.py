@@ -77,3 +77,18 @@ def test_query_shuffles_the_texts(spark, tmp_path, monkeypatch):
     assert seen[0].columns == ["doc_id", "text", "lang", "shard", "slot"]
     moved = sorted((r["shard"], r["slot"], r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in seen[0].collect())
     assert moved == sorted((r["shard"], r["slot"], r["doc_id"], r["size"], r["text_crc32"]) for r in out) and len(out) == 202
+
+
+@pytest.mark.parametrize("key", ["null", "id % 2", "id div 40000"])
+def test_null_and_repeated_keys_do_not_share_a_part(spark, key):
+    df = spark.range(60_000).selectExpr(f"cast({key} as long) as doc_id", "concat('text ', id) as text")
+    out = s.shuffle_into_shards(df, "doc_id").toPandas()
+    assert len(set(out["text"])) == 60_000
+    for j in range(16):
+        assert sorted(out[out["shard"] == j]["slot"]) == list(range(3750))
+
+
+def test_rows_equal_in_every_column(spark):
+    df = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'same' as text")
+    out = s.shuffle_into_shards(df, "doc_id").groupBy("shard").agg({"slot": "max", "*": "count"}).toPandas()
+    assert (out["max(slot)"] == 6249).all() and (out["count(1)"] == 6250).all()
