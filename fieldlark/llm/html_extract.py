@@ -12,6 +12,7 @@ import html
 import math
 import random
 import re
+from collections.abc import Container
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +30,9 @@ CLOSES_P = BLOCK_TAGS - {"button", "option", "optgroup", "body", "html", "head"}
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select menu".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW_TAGS}
 NAMING = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]{2,}")
 BLANKS = re.compile(r"[ \t\n\x0b\x0c\r]+")
@@ -38,9 +41,12 @@ GOLD = "data-gold"
 
 @dataclass
 class Block:
+    """A text with the tag right around it, the innermost block tag, and features of all its ancestors."""
+
     text: str
-    tags: tuple[str, ...]
-    words: frozenset[str]
+    tag: str
+    block: str
+    inside: frozenset[str]
     linked: int
     gold: bool = False
 
@@ -48,67 +54,140 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    words: frozenset[str]
+    block: str
+    inside: frozenset[str]
     gold: bool
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order; raw elements, comments and markup are gone."""
+class _Stack:
+    """The open elements. Whatever the depth, a look at it takes the same time.
+
+    An element holds the features of all its ancestors; one that adds nothing
+    shares its parent's set. ``known`` bounds the features, and so the sets.
+    """
+
+    def __init__(self, known: Container[str] | None):
+        self.open = [_Open("", "", frozenset(), False)]
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.known = known
+
+    def push(self, tag: str, attributes: str) -> None:
+        top = self.open[-1]
+        names = [f"in={tag}"]
+        if attributes:
+            named = " ".join("".join(x[1:]) for x in NAMING.findall(attributes)).lower()
+            names += [f"named={w}" for w in WORDS.findall(named)]
+        new = [f for f in names if f not in top.inside and (self.known is None or f in self.known)]
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPES:
+            self.scopes.append(len(self.open))
+        self.open.append(_Open(tag, tag if tag in BLOCK_TAGS else top.block, top.inside.union(new) if new else top.inside, top.gold or GOLD in attributes))
+
+    def cut(self, size: int) -> None:
+        while len(self.open) > size:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, 0 if none is open."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, tags: tuple[str, ...]) -> None:
+        """Ends the innermost of ``tags`` unless a list or table was opened within it."""
+        at = max(map(self.last, tags))
+        if at and at > (self.scopes[-1] if self.scopes else 0):
+            self.cut(at)
+
+
+def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """The text blocks of a page in order; raw elements, comments and markup are gone.
+
+    Takes time in proportion to the page, however broken: a tag ends at the
+    next ``>`` outside quotes or, once a page has a tag for which there is
+    none, at the next ``>`` of any kind; with none left, ``<`` is text.
+    """
     out: list[Block] = []
-    stack: list[_Open] = []
-    held: list[tuple[str, bool]] = []
     page = page or ""
+    stack = _Stack(known)
+    held: list[str] = []
+    linked = 0
+    quoted, at, size = True, 0, len(page)
+    final = {c: page.rfind(c) for c in ">\"'"}
 
     def flush() -> None:
+        nonlocal linked
         if held:
-            text = BLANKS.sub(" ", html.unescape("".join(t for t, _ in held))).strip(" ")
+            raw = "".join(held)
+            text = BLANKS.sub(" ", html.unescape(raw)).strip(" ")
             if text:
-                words = frozenset().union(*(o.words for o in stack))
-                linked = sum(len(t) for t, a in held if a)
-                out.append(Block(text, tuple(o.tag for o in stack), words, round(10 * linked / max(1, sum(len(t) for t, _ in held))), any(o.gold for o in stack)))
+                top = stack.open[-1]
+                out.append(Block(text, top.tag, top.block, top.inside, round(10 * linked / max(1, len(raw))), top.gold))
             held.clear()
+            linked = 0
+
+    def tag_end(start: int) -> int:
+        """Behind the ``>`` of the tag whose attributes begin at ``start``."""
+        nonlocal quoted
+        i = start
+        while quoted:
+            m = STOP.search(page, i)
+            if m is None:
+                quoted = False
+                break
+            c, i = m.group(), m.end()
+            if c == ">":
+                return i
+            if final[c] >= i:
+                i = page.index(c, i) + 1
+        return page.index(">", start) + 1
 
-    def close(tags: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in SCOPES:
-                return
-
-    at, size = 0, len(page)
     while at < size:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            text = m.group()
-            if text[0] != "<" or text == "<":
-                held.append((text, any(o.tag == "a" for o in stack)))
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            held.append(page[at:end])
+            linked += (end - at) * bool(stack.last("a"))
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
             continue
-        tag = tag.lower()
+        m = TAG.match(page, at) if final[">"] > at else None
+        if m is None:
+            if final[">"] > at and page[at + 1] in "!?":
+                at = page.index(">", at) + 1
+            else:
+                held.append("<")
+                linked += bool(stack.last("a"))
+                at += 1
+            continue
+        at = tag_end(m.end())
+        tag, attributes = m.group(2).lower(), page[m.end() : at - 1]
         if m.group(1):
             if tag in BLOCK_TAGS:
                 flush()
-            if any(o.tag == tag for o in stack):
-                while stack.pop().tag != tag:
-                    pass
+            if found := stack.last(tag):
+                stack.cut(found)
             continue
         if tag in BLOCK_TAGS:
             flush()
             if tag in CLOSES_P:
-                close(("p",))
+                stack.close(("p",))
             if tag in SELF_CLOSING:
-                close(SELF_CLOSING[tag])
+                stack.close(SELF_CLOSING[tag])
         if tag == "br":
-            held.append((" ", False))
-        if tag in RAW_TAGS and not m.group(3).rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            held.append(" ")
+        if tag in RAW_TAGS and not attributes.rstrip().endswith("/"):
+            end = RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
         if tag not in VOID_TAGS:
-            named = " ".join("".join(x[1:]) for x in NAMING.findall(m.group(3))).lower()
-            stack.append(_Open(tag, frozenset(WORDS.findall(named)), GOLD in m.group(3)))
+            stack.push(tag, attributes)
     flush()
     return out
 
@@ -116,10 +195,7 @@ def blocks(page: str | None) -> list[Block]:
 def describe(b: Block, place: int, count: int) -> list[str]:
     """Names of the features a block has."""
     n = b.text.count(" ") + 1
-    out = ["any", f"tag={b.tags[-1] if b.tags else ''}", f"words={min(7, int(math.log2(n)))}", f"linked={b.linked // 2}"]
-    out += [f"in={t}" for t in set(b.tags)] + [f"named={w}" for w in b.words]
-    block = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "")
-    out.append(f"block={block}")
+    out = ["any", f"tag={b.tag}", f"words={min(7, int(math.log2(n)))}", f"linked={b.linked // 2}", f"block={b.block}", *b.inside]
     if b.text[-1] in ".!?:;\"')":
         out.append("stops")
     if b.text[0] in "©|»·" or "©" in b.text:
@@ -214,74 +290,88 @@ class Chain:
         return out[::-1]
 
 
+SOUNDS = "ba de fi go hu ka le mi no pu ra se ti vo wy zan ber dis fol gar hem jin kor lum".split()
+
+
 def example_page(rng: random.Random) -> str:
-    """A page from a grammar of layouts; elements of the article carry ``data-gold``."""
-    sounds = ["th", "er", "on", "an", "re", "ti", "es", "or", "ing", "ed", "he", "en", "eau", "le", "que", "sch", "und", "ción", "os", "la", "die"]
-    word = lambda: "".join(rng.choice(sounds) for _ in range(rng.randint(1, 4)))
-    junk = rng.choice(("", "", "", "***", "%%%", "&amp;&amp;", "!!"))
-    some = lambda a, b: " ".join(word() + (rng.choice((",", ""," ")).strip() if rng.random() < 0.15 else "") + junk for _ in range(rng.randint(a, b)))
-    line = lambda a, b: some(a, b).capitalize() + rng.choice((".", ".", ".", "?", ""))
+    """A page from a grammar of common layouts; elements of the article carry ``data-gold``.
+
+    Layouts, class words and tag soup are those that HTML at large has; nothing
+    is taken from the pages the operator is run on.
+    """
+    pick, choose = rng.random, rng.choice
+    word = lambda: "".join(choose(SOUNDS) for _ in range(rng.randint(1, 4)))
+    noise = choose(("", "", "", "", "~~", "@", "&amp;"))
+    some = lambda a, b: " ".join(word() + choose(("", "", "", "", "", ",")) + noise for _ in range(rng.randint(a, b)))
+    line = lambda a, b: some(a, b).capitalize() + choose((".", ".", ".", "!", "?", ""))
     text = lambda: " ".join(line(1, 18) for _ in range(rng.randint(1, 6)))
-    links = lambda k: "".join(f'<li><a href="/{word()}">{some(1, 3)}</a></li>' for _ in range(k))
-    pick = rng.random
+    link = lambda: f'<a href="{choose(("/", "#", "?q=", "https://"))}{word()}">{some(1, 3)}</a>'
+    listed = lambda k: "".join(f"<li>{link()}{choose(("</li>", "</li>", ""))}" for _ in range(k))
+    named = lambda *words: f'{choose(("class", "class", "id"))}="{choose(words)}"'
+
+    def soup(inner: str) -> str:
+        """``inner`` in inline tags that may be left open or closed in the wrong order."""
+        tag, other = rng.sample(("b", "i", "em", "strong", "span", "u", "small"), 2)
+        return choose((f"<{tag}>{inner}</{tag}>", f"<{tag}>{inner}", f"<{tag}><{other}>{inner}</{tag}></{other}>", f"{inner}</{tag}>", f"{inner}<br>", f"<{tag}>{inner}<br/>"))
 
     def boiler(kind: str) -> str:
         return {
-            "nav": f"<nav><ul>{links(rng.randint(2, 8))}</ul></nav>",
-            "menu": f'<div class="{rng.choice(("menu", "navigation", "navbar", "breadcrumb"))}"><ul>{links(rng.randint(2, 8))}</ul></div>',
-            "header": f'<header><a href="/">{some(1, 3)}</a><p>{line(2, 8)}</p></header>',
-            "footer": f"<footer>&copy; {word()}.example.com &middot; {line(2, 12)}</footer>",
-            "foot": f'<div id="footer"><p>&copy; {some(1, 4)}</p><ul>{links(3)}</ul></div>',
-            "aside": f'<aside class="sidebar"><h3>{some(1, 3)}</h3><p>{text()}</p><ul>{links(rng.randint(1, 5))}</ul></aside>',
-            "side": f'<div class="{rng.choice(("sidebar", "widget", "related", "teaser"))}"><h4>{some(1, 4)}</h4><p>{line(3, 20)}</p></div>',
-            "ad": f'<div class="{rng.choice(("ad", "ad", "advert", "ads banner", "sponsored", "promo"))}">{line(3, 14)}</div>',
-            "notice": f'<div class="{rng.choice(("cookie", "notice", "consent", "alert", "cookie-notice", "gdpr"))}"><p>{line(4, 20)}</p><button>{word()}</button></div>',
-            "form": f'<form action="/s"><label>{some(1, 3)}</label><input name="q"><select><option>{word()}<option>{word()}</select><button>{word()}</button></form>',
-            "signup": f'<form class="{rng.choice(("newsletter", "signup", "search"))}"><p>{line(4, 14)}</p><input type="text"><button>{some(1, 2)}</button></form>',
-            "comments": f'<{(s := rng.choice(("section", "div")))} {rng.choice(("class", "id"))}="{rng.choice(("comments", "comment-list", "responses", "discussion comments"))}"><h2>{some(1, 2)}</h2>' + "".join(f'<div class="comment"><b>{word()}</b><p>{text()}</p></div>' for _ in range(rng.randint(1, 5))) + f"</{s}>",
-            "replies": '<ol class="comments">' + "".join(f"<li>{text()}</li>" for _ in range(rng.randint(1, 4))) + "</ol>",
-            "share": f'<div class="share social"><a href="#">{word()}</a> <a href="#">{word()}</a></div>',
-            "script": f'<script>var a="</p>";track({rng.randint(0, 9)});</script>',
-            "note": f"<!-- {line(2, 6)} -->",
+            "nav": f"<nav>{choose(('', f'<h2>{some(1, 2)}</h2>'))}<ul>{listed(rng.randint(2, 8))}</ul></nav>",
+            "menu": f'<div {named("menu", "navigation", "navbar", "breadcrumb", "topbar", "site-nav")}>' + choose((f"<ul>{listed(rng.randint(2, 8))}</ul>", " | ".join(link() for _ in range(4)))) + "</div>",
+            "header": f"<header>{link()}<p>{line(2, 8)}</p></header>",
+            "masthead": f'<div {named("header", "masthead", "banner", "logo")}><p>{line(1, 6)}</p>{link()}</div>',
+            "footer": f"<footer>{choose(('', '<p>'))}{choose(('©', '&copy;', 'Copyright'))} {rng.randint(1995, 2030)} {line(1, 12)}{choose(('', ' ' + link()))}</footer>",
+            "foot": f'<div {named("footer", "colophon", "bottom", "legal")}><p>{choose(("©", "&#169;", ""))} {line(1, 9)}</p><ul>{listed(3)}</ul></div>',
+            "aside": f"<aside {named('sidebar', 'right', 'more')}><h3>{some(1, 3)}</h3><p>{text()}</p><ul>{listed(rng.randint(1, 5))}</ul></aside>",
+            "side": f'<div {named("sidebar", "widget", "related", "teaser", "recommended", "tags")}><h4>{some(1, 4)}</h4><p>{line(3, 20)}</p></div>',
+            "ad": f'<div {named("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot")}>{choose(("", "<p>"))}{line(2, 14)}</div>',
+            "notice": f'<div {named("cookie", "notice", "consent", "alert", "popup", "gdpr", "cookie-bar")}><p>{line(4, 20)}</p><button>{word()}</button></div>',
+            "form": f'<form action="/{word()}"><label>{some(1, 3)}</label><input name="{word()}"><select><option>{word()}<option>{word()}</select><button>{word()}</button></form>',
+            "signup": f'<form {named("newsletter", "signup", "search", "login")}><p>{line(4, 14)}</p><input type="text"><button>{some(1, 2)}</button></form>',
+            "comments": f'<{(s := choose(("section", "div")))} {named("comments", "comment-list", "responses", "discussion", "replies")}><h2>{some(1, 2)}</h2>' + "".join(f"<div {named('comment', 'reply')}><b>{word()}</b><p>{text()}</p></div>" for _ in range(rng.randint(1, 5))) + f"</{s}>",
+            "replies": f"<ol {named('comments', 'thread')}>" + "".join(f"<li>{text()}" for _ in range(rng.randint(1, 4))) + "</ol>",
+            "share": f'<div {named("share", "social", "toolbar")}>{link()} {link()}</div>',
+            "script": f"<script>if (a < {rng.randint(0, 9)}) {{ {word()}('<p>'); }}</script>",
+            "note": f"<!-- {choose(('<p>', ''))}{line(2, 6)} -->",
         }[kind]
 
-    kinds = ("nav", "menu", "header", "footer", "foot", "aside", "side", "ad", "notice", "form", "signup", "comments", "replies", "share", "script", "note")
-
     def piece() -> str:
         r = pick()
-        if r < 0.6:
-            return f"<p>{text()}</p>"
-        if r < 0.68:
-            return f"<p><b>{line(1, 12)}<br><p>{text()}</p>"
-        if r < 0.76:
+        if r < 0.56:
+            return f"<p>{text()}{choose(('</p>', '</p>', '</p>', ''))}"
+        if r < 0.7:
+            return f"<p>{soup(text())}" + choose(("</p>", "", "<p>" + text()))
+        if r < 0.77:
             return f"<h{(h := rng.randint(2, 4))}>{some(1, 8)}</h{h}>"
-        if r < 0.82:
-            return "<ul>" + "".join(f"<li>{line(1, 12)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
+        if r < 0.83:
+            return f"<{(t := choose(('ul', 'ol')))}>" + "".join(f"<li>{line(1, 12)}{choose(('</li>', ''))}" for _ in range(rng.randint(2, 5))) + f"</{t}>"
         if r < 0.88:
-            return f'<p>{line(3, 9)} <a href="/x">{some(1, 4)}</a> <em>{some(1, 4)}</em> {line(2, 20)}</p>'
+            return f"<p>{line(3, 9)} {link()} <em>{some(1, 4)}</em> {line(2, 20)}</p>"
         if r < 0.92:
             return f"<blockquote>{text()}</blockquote>"
-        if r < 0.96:
+        if r < 0.95:
             return f"<figure><figcaption>{line(3, 9)}</figcaption></figure>"
+        if r < 0.98:
+            return "<table>" + "".join(f"<tr><td>{some(1, 3)}<td>{some(1, 3)}" for _ in range(rng.randint(1, 4))) + "</table>"
         return f"<pre>{some(3, 20)}</pre>"
 
-    tag, name = rng.choice((("article", ""), ("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' id="content"'), ("div", ' class="article-body"'), ("div", ' class="entry post"'), ("section", ' class="story"')))
-    inside = [f"<h1>{some(1, 12)}</h1>"] * (pick() < 0.9) + [piece() for _ in range(rng.randint(1, 14))]
+    tag, name = choose((("article", ""), ("article", ""), ("article", f" {named('post', 'entry', 'hentry')}"), ("main", ""), ("div", f" {named('content', 'main', 'article', 'article-body')}"), ("div", f" {named('entry', 'post', 'post-body', 'text')}"), ("section", f" {named('story', 'body', 'article')}")))
+    inside = [f"<h1>{some(1, 12)}</h1>"] * (pick() < 0.85) + [piece() for _ in range(rng.randint(1, 14))]
     article = "".join(inside)
     if pick() < 0.35:  # boilerplate inside the article's element
         cut = rng.randint(1, len(inside))
-        extra = boiler(rng.choice(("ad", "share", "side", "form", "signup", "comments", "aside", "notice")))
-        article = f"<div {GOLD}>{''.join(inside[:cut])}</div>{extra}<div {GOLD}>{''.join(inside[cut:])}</div>"
-        body = f"<{tag}{name}>{article}</{tag}>"
+        extra = boiler(choose(("ad", "share", "side", "form", "signup", "comments", "aside", "notice")))
+        body = f"<{tag}{name}><div {GOLD}>{''.join(inside[:cut])}</div>{extra}<div {GOLD}>{''.join(inside[cut:])}</div></{tag}>"
     else:
         body = f"<{tag}{name} {GOLD}>{article}</{tag}>"
-    before = [boiler(k) for k in rng.sample(("nav", "menu", "header", "ad", "notice", "form", "script", "note", "signup"), rng.randint(0, 5))]
+    before = [boiler(k) for k in rng.sample(("nav", "menu", "header", "masthead", "ad", "notice", "form", "script", "note", "signup"), rng.randint(0, 5))]
     after = [boiler(k) for k in rng.sample(("footer", "foot", "aside", "side", "ad", "comments", "replies", "share", "form", "nav", "script", "notice"), rng.randint(0, 5))]
     if pick() < 0.04:
         return f"<p {GOLD}>{text()}"
-    if pick() < 0.1:
-        body = f"<main>{body}</main>" if tag != "main" else f'<div class="wrap">{body}</div>'
-    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{some(1, 10)}</title><style>p{{margin:0}}</style></head><body>{"".join(before)}{body}{"".join(after)}</body></html>'
+    if pick() < 0.15:
+        body = f"<main>{body}</main>" if tag != "main" else f"<div {named('wrap', 'page', 'container')}>{body}</div>"
+    style = choose(("", f"<style>.{word()} {{ color: red }}</style>"))
+    return f"{choose(('', '<!doctype html>'))}<html><head><title>{some(1, 10)}</title>{style}</head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
 
 
 def example_pages(n: int = 400, seed: int = 3) -> list[str]:
@@ -301,7 +391,7 @@ def fitted(n: int = 400, seed: int = 3) -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page)
+    found = blocks(page, chain.names)
     return "\n".join(b.text for b, label in zip(found, chain.decode(found)) if label)
 
 

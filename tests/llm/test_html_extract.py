@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import itertools
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -73,3 +76,85 @@ def test_extract(spark):
     long = next(r for r in got if r["page_id"] == 5)
     assert long["text"] == "\n".join(["Some words, here."] * 5000) and long["n_chars"] == len(long["text"])
     assert h.extract(df.limit(0)).collect() == []
+
+
+def family(rng, kind):
+    """Labelled pages of layouts that no training page has: (html, blocks of the article)."""
+    words = lambda a, b: " ".join("".join(rng.choice(list("aeioubcdfglmnprst"), rng.integers(2, 9))) for _ in range(rng.integers(a, b)))
+    line = lambda a=4, b=25: words(a, b).capitalize() + "."
+    body = [line() + " " + line() for _ in range(rng.integers(2, 9))]
+    title = words(3, 9)
+    if kind == "wiki":
+        texts, rows = [title], ""
+        for p in body:
+            head = words(1, 4)
+            texts += [head, p]
+            rows += f"<h2>{head}</h2><p>{p}</p>"
+        return f'<body><div id="mw-head" role="navigation"><ul><li><a href="/a">{words(1, 2)}</a><li><a href="/b">{words(1, 2)}</a></ul></div><main id="bodyContent"><h1>{title}</h1>{rows}</main><footer><ul><li>{words(2, 5)}<li><a href="/p">{words(1, 3)}</a></ul></footer></body>', texts
+    if kind == "news":
+        mid = len(body) // 2
+        return f'<div class="site-header header-top"><a href="/">{words(1, 2)}</a></div><main><article class="story-page"><header-x></header-x><h1>{title}</h1>' + "".join(f"<p>{p}" for p in body[:mid]) + f'<div class="advert-box ad">{line(3, 9)}</div>' + "".join(f"<p>{p}" for p in body[mid:]) + f'</article></main><aside class="most-read"><h3>{words(1, 3)}</h3><ol><li><a href="/1">{words(3, 8)}</a><li><a href="/2">{words(3, 8)}</a></ol></aside><section id="comments-area" class="comments"><p>{line()}</p><p>{line()}</p></section>', [title, *body]
+    return f'<html><body><div class="cookie-consent-popup"><p>{line()}</p><button>ok</button></div><div class="page-wrap"><div class="post-content entry"><h1>{title}</h1>' + "<br>".join(f"<p><strong>{p}</strong></p>" for p in body) + f'</div><div class="related widget"><h4>{words(1, 3)}</h4><p>{line(3, 9)}</p></div></div><div class="footer-bottom footer"><p>© {line(2, 6)}</p></div></body></html>', [title, *body]
+
+
+@pytest.mark.parametrize("kind", ["wiki", "news", "blog"])
+def test_families_that_training_lacks(kind):
+    chain, rng, right, of = h.fitted(), np.random.default_rng(3), 0, 0
+    for _ in range(60):
+        page, want = family(rng, kind)
+        got = h.main_text(page, chain).split("\n")
+        right += len(set(got) & set(want))
+        of += len(set(got) | set(want))
+    assert right / of > 0.9, (kind, right / of)
+
+
+class Articles(HTMLParser):
+    """Another reading of well-nested pages: the text inside ``article``, outside ``skip``."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.off, self.lines = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        self.off += tag in ("script", "style")
+        if tag in ("p", "h1", "div", "article"):
+            self.lines.append("")
+        if tag == "br":
+            self.lines[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "div", "article"):
+            self.lines.append("")
+        self.depth -= tag == "article"
+        self.off -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.depth and not self.off:
+            self.lines[-1] += data
+
+
+def test_whole_table_against_another_reading(spark):
+    """Every page of the table: its article, read by the parser of the standard library."""
+    from fieldlark.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r["text"] for r in queries.op8_html_extraction(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        parser = Articles()
+        parser.feed(r["html"] or "")
+        lines = [" ".join(re.split("[ \t\n\x0b\x0c\r]+", x)).strip(" ") for x in parser.lines]
+        assert got[r["page_id"]] == "\n".join(x for x in lines if x), r["page_id"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", "<div><p>x", "<b>x", '<a "', "<a '>", '<a ">" ', "<!", "<!--", "<script>", "<table><tr><td>x", "<x-{i} class=k{i}>y", "</p>", "<p><span>x", "&#", "<li>x", "<p class='a", "<"])
+def test_time_grows_with_the_page(part):
+    chain = h.fitted()
+    page = "".join(part.replace("{i}", str(i)) for i in range(1_000_000 // len(part)))
+    for tail in ("", ">"):
+        began = time.process_time()
+        h.main_text(page + tail, chain)
+        assert time.process_time() - began < 30, part
