@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlark.llm.common import ascii_lower
@@ -23,6 +23,8 @@ from fieldlark.llm.common import ascii_lower
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Labelled URLs used at most.
 SAMPLE = 6000
+#: Parts of them, each seen with the suffix statistics of the others when trees are fitted.
+FOLDS = 5
 NAMES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digits", "hyphens", "host_entropy", "path_entropy", "parameters", "query_length", "longest_part", "fragment", "secure", "top_rate", "domain_rate")
 
 
@@ -64,36 +66,34 @@ def _suffixes(host: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-2:])
 
 
-@dataclass
 class Suffixes:
     """Log odds of bad URLs by host suffix, smoothed to zero where little is known."""
 
-    odds: dict[str, float]
-
-    @classmethod
-    def count(cls, urls: list[str], bad: list[int], smooth: float = 20.0) -> Suffixes:
-        seen, hits = Counter(), Counter()
+    def __init__(self, urls: list[str], bad: list[int], smooth: float = 20.0):
+        self.seen, self.hits, self.smooth = Counter(), Counter(), smooth
         for u, b in zip(urls, bad):
             for s in set(_suffixes(_parts(u)[1])):
-                seen[s] += 1
-                hits[s] += b
-        rate = (sum(bad) + 1) / (len(bad) + 2)
-        base = math.log(rate / (1 - rate))
-        smoothed = {s: (hits[s] + smooth * rate) / (n + smooth) for s, n in seen.items()}
-        return cls({s: math.log(p / (1 - p)) - base for s, p in smoothed.items()})
+                self.seen[s] += 1
+                self.hits[s] += b
+        self.rate = (sum(bad) + 1) / (len(bad) + 2)
+
+    def odds(self, suffix: str) -> float:
+        p = (self.hits[suffix] + self.smooth * self.rate) / (self.seen[suffix] + self.smooth)
+        return math.log(p / (1 - p)) - math.log(self.rate / (1 - self.rate))
 
     def features(self, urls: list[str | None]) -> np.ndarray:
+        """NAMES of each url."""
         out = np.zeros((len(urls), len(NAMES)))
         for i, u in enumerate(urls):
             u = u or ""
             scheme, host, path, query = _parts(u)
-            top, domain = _suffixes(host)
+            top, domain = map(self.odds, _suffixes(host))
             own = query.rstrip("#")
             out[i] = (
                 len(u), len(host), len(path), sum(map(bool, path.split("/"))), host.count(".") + 1,
                 sum(map(str.isdigit, u)) / max(1, len(u)), sum(map(str.isdigit, host)), host.count("-"),
                 _entropy(host), _entropy(path), own.count("&") + bool(own), len(own), max(map(len, host.split("."))),
-                query.endswith("#"), scheme == "https", self.odds.get(top, 0.0), self.odds.get(domain, 0.0),
+                query.endswith("#"), scheme == "https", top, domain,
             )
         return out
 
@@ -163,36 +163,61 @@ class BoostedTrees:
         return out
 
 
+SYLLABLES = "ba co di fe go hi ka lu me no pa qui ro sa te vu wa xe yo zu bran cel dor fin gal hem".split()
+HEX = "0123456789abcdef"
+
+
 def example_urls(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, int]]:
-    """``n`` labelled URLs, 1 for bad, from a small grammar: plain publishers against link farms and trackers."""
+    """``n`` labelled URLs, 1 for bad, from a small grammar of how addresses are built.
+
+    Good ones are names of one word, at times two, with dated, filed or plain
+    paths; bad ones are chains of words, drawn characters, heaps of labels or
+    numbers as hosts, or plain hosts with trails of opaque parameters. Words
+    are random syllables, so none can be learnt.
+    """
     rng = random.Random(seed)
-    sound = ["th", "er", "on", "an", "re", "ti", "es", "or", "ing", "ed", "he", "ha", "en", "to", "st", "nd", "ou", "le", "be", "mar", "lo", "den", "vi"]
-    bait = ["casino", "pills", "cheap", "free", "bets", "win", "adult", "spam", "farm", "track", "ads", "click", "bonus", "loan", "hot", "x", "deal", "cash", "prize", "24", "vip", "promo"]
-    word = lambda a, b: "".join(rng.choice(sound) for _ in range(rng.randint(a, b)))
+    pick, choose = rng.random, rng.choice
+    word = lambda a, b: "".join(choose(SYLLABLES) for _ in range(rng.randint(a, b)))
+    opaque = lambda a, b: "".join(choose(HEX) for _ in range(rng.randint(a, b)))
+
+    def path() -> str:
+        return choose((
+            "", "/", f"/{word(1, 3)}", f"/{word(1, 2)}/{word(1, 3)}", f"/{word(1, 2)}/{rng.randint(1, 9999)}", f"/{rng.randint(1999, 2026)}/{rng.randint(1, 12)}/{'-'.join(word(1, 3) for _ in range(rng.randint(2, 6)))}",
+            f"/{word(1, 1)}/{word(1, 3)}.{choose(('php', 'htm', 'pdf', 'aspx'))}", "/" + "/".join(word(1, 3) for _ in range(rng.randint(2, 5))),
+        )) + choose(("", "", "", "/", f"?{word(1, 1)}={rng.randint(1, 99)}", f"?q={word(1, 2)}+{word(1, 2)}", f"#{word(1, 2)}", f"?{word(1, 1)}={word(1, 2)}&{word(1, 1)}={word(1, 2)}"))
+
     out = []
     for _ in range(n):
-        bad = rng.random() < 0.35
-        if bad:
-            name = "-".join(rng.sample(bait, rng.choice((2, 2, 2, 3)))) if rng.random() < 0.9 else word(1, 2) + str(rng.randint(10, 9999))
-            top = rng.choices(("example.com", "example.net", "example.org", "xyz", "top", "click"), (3, 3, 3, 2, 2, 1))[0]
+        bad = pick() < 0.35
+        front, rest = choose(("", "", "www.", "www.", "m.", f"{word(1, 2)}.", f"{word(1, 2)}.{word(1, 3)}.")), path()
+        top = choose(("com", "net", "org", "info", "eu", "co", "co.uk", "edu"))
+        if not bad:
+            name = word(1, 6) if pick() < 0.985 else f"{word(1, 3)}-{word(1, 3)}"
+        elif (r := pick()) < 0.6:
+            name = "-".join(word(1, 3) for _ in range(rng.randint(2, 4)))
+        elif r < 0.7:
+            name = opaque(10, 24)
+        elif r < 0.78:
+            name = ".".join(word(1, 2) for _ in range(rng.randint(4, 7)))
+        elif r < 0.86:
+            front, name, top = "", ".".join(str(rng.randint(1, 255)) for _ in range(3)), str(rng.randint(1, 255))
         else:
-            name = word(2, 4) if rng.random() < 0.95 else word(1, 2) + "-" + word(1, 2)
-            top = rng.choices(("example.com", "example.net", "example.org", "com", "org", "edu"), (4, 4, 4, 2, 2, 1))[0]
-        host = rng.choice(("", "", "www.", "m.", "blog.")) + name + "." + top
-        path = f"/{rng.choice(('en', 'de', 'fr', 'es'))}/{rng.randint(1, 999)}" if rng.random() < 0.8 else "/" + "/".join(word(1, 3) for _ in range(rng.randint(0, 4)))
-        tail = rng.choice(("", "", ".html", "/", "#top", "?page=2&ref=x", "?utm_source=feed"))
-        if bad and rng.random() < 0.2:
-            tail = "?" + "&".join(f"{word(1, 1)}={rng.getrandbits(40):x}" for _ in range(rng.randint(2, 6)))
-        out.append((f"http{rng.choice(('', 's'))}://{host}{path}{tail}", int(bad)))
+            name = word(2, 4) + str(rng.randint(10, 9999))
+            rest = f"/{opaque(6, 20)}?" + "&".join(f"{word(1, 1)}={opaque(8, 40)}" for _ in range(rng.randint(2, 6)))
+        if bad and pick() < 0.2:
+            top = choose(("xyz", "top", "click", "biz"))
+        out.append((f"http{choose(('', 's'))}://{front}{name}.{top}{rest}", int(bad)))
     return out
 
 
 def fitted(labelled: list[tuple[str, int]] | None = None) -> tuple[Suffixes, BoostedTrees]:
-    """Suffix statistics and trees of labelled URLs, the first ``SAMPLE`` of them; without any, of ``example_urls``."""
-    rows = (labelled or example_urls())[:SAMPLE]
-    urls, bad = [u for u, _ in rows], [b for _, b in rows]
-    suffixes = Suffixes.count(urls, bad)
-    return suffixes, BoostedTrees().fit(suffixes.features(urls), np.array(bad, float))
+    """Suffix statistics and trees of labelled URLs, those ``SAMPLE`` of least hash; without any, of ``example_urls``."""
+    rows = sorted(labelled or example_urls(), key=lambda r: (xxhash.xxh64_intdigest(r[0]), r))[:SAMPLE]
+    x, bad = np.zeros((len(rows), len(NAMES))), np.array([b for _, b in rows], float)
+    for k in range(FOLDS):  # a URL's own label must not reach the trees through its suffix
+        rest = [r for i, r in enumerate(rows) if i % FOLDS != k]
+        x[k::FOLDS] = Suffixes([u for u, _ in rest], [b for _, b in rest]).features([u for u, _ in rows[k::FOLDS]])
+    return Suffixes([u for u, _ in rows], [b for _, b in rows]), BoostedTrees().fit(x, bad)
 
 
 def judge(pages: DataFrame, labelled: list[tuple[str, int]] | None = None, rules=RULES) -> DataFrame:
