@@ -1,16 +1,17 @@
 """SimHash near-duplicates through a Gray-ordered hierarchical index.
 
 Fingerprints within ``RADIUS`` bits agree on at least one of ``RADIUS + 1``
-bit blocks. For each block the distinct fingerprints are rotated so that the
+bit blocks. For each block the distinct fingerprints are turned so that the
 block leads, put in Gray order and cut into buckets by it: that block is the
 root of a tree whose nodes hold the bits on which all codes below agree, less
 those that a node above holds already. A search adds up the differences on the
 way down and drops a whole subtree once they pass the radius.
 
-A bucket beyond ``BUCKET`` codes is not indexed in one task. Its codes go
-through their one-bit neighbours instead: two codes at distance two or less
-share a neighbour at distance one or less from both, and no neighbour has more
-than 65 codes. So every link is found at every size.
+A bucket beyond ``BUCKET`` codes is cut in the same way again: its codes agree
+on the bits that lead, so two within the radius agree on one of
+``RADIUS + 1`` blocks of those left. The hierarchy so grows with the bucket and
+ends by itself, as few bits leave few codes. Every link is found at every size,
+and no task holds more than a bucket.
 """
 
 from __future__ import annotations
@@ -27,11 +28,8 @@ from fieldlark.llm.components import connected_components
 from fieldlark.llm.similar import similar_texts, text_key
 
 RADIUS = 2
-#: (first bit from the top, width) of the blocks.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
 FAN = 8
-LEVELS = 4
-BUCKET = FAN**LEVELS
+BUCKET = FAN**5
 #: Pairs of codes compared at once.
 SLICE = 1 << 18
 SEED = 42
@@ -69,10 +67,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_texts(docs, "text", [("fp", T.LongType())], run)
 
 
-def _rotated(col, first: int):
-    return col if first == 0 else F.shiftleft(col, first).bitwiseOR(F.shiftrightunsigned(col, 64 - first))
-
-
 def _gray_rank(col):
     """Rank of a code in the reflected Gray sequence, ordered as a signed long."""
     for k in (1, 2, 4, 8, 16, 32):
@@ -92,8 +86,8 @@ def _nodes(codes: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray,
 def index_links(bucket: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) of codes of one bucket within the radius, a bounded number at a time.
 
-    ``codes`` (uint64) stand bucket by bucket in Gray order, at most
-    ``FAN ** LEVELS`` to a bucket.
+    ``codes`` (uint64) stand bucket by bucket in Gray order. The tree is as high
+    as the largest bucket needs.
     """
     n = len(codes)
     if not n:
@@ -101,9 +95,10 @@ def index_links(bucket: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndar
     heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     sizes = np.diff(np.append(heads, n))
     start, end = np.repeat(heads, sizes), np.repeat(heads + sizes, sizes)
+    height = next(k for k in range(64) if FAN**k >= sizes.max())
     tree = []
     above = np.zeros(n, np.uint64)  # bits that the nodes over each code hold already
-    for level in range(LEVELS, -1, -1):
+    for level in range(height, -1, -1):
         first, mask, pattern = _nodes(codes, start, FAN**level)
         own = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
         tree.append((FAN**level, mask & ~above[first], pattern, own))
@@ -115,7 +110,7 @@ def index_links(bucket: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndar
         q = np.arange(at, to)
         node, seen = start[q], np.zeros(len(q), np.int64)  # a node goes by its first code
         for span, residual, pattern, own in tree:
-            if span < FAN**LEVELS:
+            if span < FAN**height:
                 kids = node[:, None] + np.arange(FAN) * span
                 ok = kids < end[q][:, None]
                 ok &= kids + span > q[:, None] + 1  # a pair is found from its first code
@@ -146,9 +141,8 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = None
 
     def edges(x: pd.DataFrame) -> pd.DataFrame:
-        bucket = x["block"].to_numpy(np.int64) << 22 | x["key"].to_numpy(np.int64)
         root = np.arange(len(x))
-        for a, b in index_links(bucket, x["code"].to_numpy(np.int64).view(np.uint64)):
+        for a, b in index_links(x["bucket"].to_numpy(np.int64), x["code"].to_numpy(np.int64).view(np.uint64)):
             root = _merged(root, a, b)
         fp = x["fp"].to_numpy(np.int64)
         moved = root != np.arange(len(x))
@@ -156,9 +150,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         x = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = (x["block"] == x["block"].iloc[-1]) & (x["key"] == x["key"].iloc[-1]) if len(x) else None
         if not len(x):
             continue
+        last = x["bucket"] == x["bucket"].iloc[-1]
         held = x[last]
         done = x[~last].reset_index(drop=True)
         if len(done):
@@ -167,26 +161,40 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield edges(held.reset_index(drop=True))
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """``rows`` (fp, bucket, code, lead) once for each block of the bits behind the ``lead`` first ones.
+
+    Those bits are turned until the block leads among them; its bits join the
+    bucket's name. Unlike buckets of one name do no harm but to be searched
+    together.
+    """
+    n = RADIUS + 1
+    rows = rows.selectExpr("*", "64 - lead as bits", f"cast((64 - lead) div {n} as int) as least", f"(64 - lead) % {n} as more", "shiftleft(code, lead) as tail")
+    head = "if(lead = 0, 0L, shiftleft(shiftrightunsigned(code, bits), bits)) as head"
+    cuts = ", ".join(f"struct({j} as j, {f'{j} * least + more' if j else '0'} as first, {'least' if j else 'least + more'} as width)" for j in range(n))
+    rows = rows.selectExpr("fp", "bucket", "lead", "bits", "tail", head, f"inline(array({cuts}))")
+    turned = "shiftleft(tail, first) | if(first = 0, 0L, shiftrightunsigned(tail, bits - first))"
+    rows = rows.selectExpr("*", f"shiftleft(shiftrightunsigned({turned}, lead), lead) as turned")
+    return rows.selectExpr("fp", "xxhash64(bucket, j, shiftrightunsigned(turned, 64 - width)) as bucket", "head | shiftrightunsigned(turned, lead) as code", "lead + width as lead")
+
+
+def _peers(rows: DataFrame, bucket_cap: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets of two codes up to ``bucket_cap``, and of larger ones; of three bits none is larger."""
+    sizes = kept(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = kept(rows.join(sizes.hint("merge"), "bucket"))
+    large = f"n > {bucket_cap} and lead < {64 - RADIUS}"
+    return rows.where(f"not ({large})").drop("n"), rows.where(large).drop("n")
+
+
 def links(codes: DataFrame, bucket_cap: int = BUCKET) -> DataFrame:
     """Edges (a, b) whose closure is "at most two bits apart" over ``codes`` (fp, distinct)."""
-    parts = []
-    for j, (first, width) in enumerate(BLOCKS):
-        turned = _rotated(F.col("fp"), first)
-        parts.append(F.struct(F.lit(j).alias("block"), F.shiftrightunsigned(turned, 64 - width).alias("key"), turned.alias("code")))
-    rows = codes.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.*")
-    sizes = rows.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = kept(rows.join(sizes, ["block", "key"]))
-
-    near = shared.where(F.col("n") <= bucket_cap).repartition("block", "key")
-    near = near.sortWithinPartitions("block", "key", _gray_rank(F.col("code")))
-    near = near.select("block", "key", "code", "fp").mapInPandas(_search, "a long, b long")
-
-    flips = [F.lit(0).cast("long")] + [F.lit((1 << k) - (1 << 64) * (k == 63)).cast("long") for k in range(64)]
-    wide = shared.where(F.col("n") > bucket_cap).select("fp").distinct()
-    wide = wide.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x) for x in flips])).alias("mid"))
-    wide = wide.groupBy("mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    wide = wide.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b")
-    return near.union(wide)
+    rest = codes.select("fp", F.lit(0).cast("long").alias("bucket"), F.col("fp").alias("code"), F.lit(0).alias("lead"))
+    rows = None
+    while rows is None or not rest.isEmpty():
+        small, rest = _peers(_cut(rest), bucket_cap)
+        rows = small if rows is None else rows.union(small)
+    near = rows.repartition("bucket").sortWithinPartitions("bucket", _gray_rank(F.col("code")))
+    return near.select("bucket", "code", "fp").mapInPandas(_search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_cap: int = BUCKET) -> DataFrame:

@@ -152,3 +152,32 @@ def test_rows_are_judged_not_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(1, a), (5, b), (5, c), (7, d + " x"), (0, "e f g")])
     kept = s.drop_near_duplicates(df)
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, a), (5, b), (5, c), (7, d + " x"), (0, c), (0, d), (0, d), (0, "e f g"), (0, "e f g")])
+
+
+def test_cut_turns_blocks_to_the_front(spark):
+    """Every cut keeps all bits, puts the block behind those that lead, and names buckets by what is shared."""
+    rng = np.random.default_rng(6)
+    codes = [int(c) for c in rng.integers(-(1 << 63), (1 << 63) - 1, 40)] + [0, -1, 1, -(1 << 63)]
+    rows = spark.createDataFrame([(c, 0, c, 0) for c in codes], "fp long, bucket long, code long, lead int")
+    string = lambda c: f"{c & ((1 << 64) - 1):064b}"
+    for depth in range(4):
+        lead = {r["lead"] for r in rows.collect()}
+        rows = s._cut(rows).cache()
+        got = rows.collect()
+        assert len(got) == len(codes) * 3 ** (depth + 1)
+        buckets = {}
+        for r in got:
+            assert string(r["code"]).count("1") == string(r["fp"]).count("1")
+            buckets.setdefault((r["bucket"], r["lead"]), set()).add(string(r["code"])[: r["lead"]])
+        assert all(len(b) == 1 for b in buckets.values()) and min(r["lead"] for r in got) > max(lead | {0}) - 20
+
+
+def test_large_buckets_go_deeper(spark):
+    """Codes that agree on all but a few bits: found however small the buckets are kept."""
+    codes = sorted({sum(1 << int(k) for k in np.random.default_rng(i).integers(0, 30, 4)) for i in range(700)})
+    df = spark.createDataFrame([(c,) for c in codes], "fp long")
+    want = {(a, b) for a in codes for b in codes if a < b and bin(a ^ b).count("1") <= 2}
+    for cap in (s.BUCKET, 50, 4):
+        roots = {r["node"]: r["root"] for r in connected_components(s.links(df, cap)).collect()}
+        assert all(roots[a] == roots[b] for a, b in want)
+        assert set(roots) == {x for p in want for x in p}
