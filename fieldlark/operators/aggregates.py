@@ -57,21 +57,25 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).agg(*(F.count_if(F.col(column) == v).alias(n) for v, n in zip(values, names)))
 
 
-def quantiles(df: DataFrame, value: str, probs: tuple[float, ...], blocks: int = 64) -> DataFrame:
-    """One row, a column ``q0``, ``q1``, ... a probability: exact quantiles by linear interpolation; nulls do not count.
+def quantiles(df: DataFrame, value: str, probs: tuple[float, ...], blocks: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, q0, q1, ...): exact quantiles by linear interpolation, a column a probability; nulls do not count.
 
-    Distinct values and their counts are ranked in blocks of about equal size,
-    so no task holds all values. Only block borders and block sizes, ``blocks``
-    rows, meet in one place.
+    One row without ``keys``, else one for each of their values that has a
+    value. Distinct values and their counts are ranked in blocks of about equal
+    size, so no task holds all values of a key. Only block borders and block
+    sizes, ``blocks`` rows a key, meet in one place.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    borders = df.agg(F.array_distinct(F.coalesce(F.percentile_approx(F.col(value).cast("double"), [k / blocks for k in range(1, blocks)], 10 * blocks), F.array().cast("array<double>"))).alias("_borders"))
-    counts = counts.crossJoin(F.broadcast(borders)).select("_v", "_n", F.size(F.filter("_borders", lambda b: b < F.col("_v"))).alias("_block"))
-    sizes = counts.groupBy("_block").agg(F.sum("_n").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_block", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(F.lit(1))).alias("_all"))
-    inside = Window.partitionBy("_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(F.broadcast(sizes), "_block").select("_v", "_all", "_n", (F.col("_before") + F.sum("_n").over(inside)).alias("_to"))
+    key = F.struct(*(F.col(k).alias(k) for k in keys)) if keys else F.lit(0)
+    rows = df.select(key.alias("_k"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    counts = rows.groupBy("_k", "_v").agg(F.count("*").alias("_n"))
+    cuts = F.array_distinct(F.percentile_approx("_v", [k / blocks for k in range(1, blocks)], 10 * blocks)) if blocks > 1 else F.array().cast("array<double>")
+    borders = rows.groupBy("_k").agg(cuts.alias("_borders"))
+    counts = counts.join(borders, "_k").select("_k", "_v", "_n", F.size(F.filter("_borders", lambda b: b < F.col("_v"))).alias("_block"))
+    sizes = counts.groupBy("_k", "_block").agg(F.sum("_n").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_k", "_block", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy("_k")).alias("_all"))
+    inside = Window.partitionBy("_k", "_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(sizes, ["_k", "_block"]).select("_k", "_v", "_all", "_n", (F.col("_before") + F.sum("_n").over(inside)).alias("_to"))
     out = []
     for k, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_all") - 1)
@@ -79,7 +83,7 @@ def quantiles(df: DataFrame, value: str, probs: tuple[float, ...], blocks: int =
         low = F.min(F.when(F.col("_to") > F.floor(at), F.col("_v")))
         high = F.min(F.when(F.col("_to") > F.ceil(at), F.col("_v")))
         out.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"q{k}"))
-    return ranked.agg(*out)
+    return ranked.groupBy("_k").agg(*out).select("_k.*", *(f"q{k}" for k in range(len(probs)))) if keys else ranked.agg(*out)
 
 
 def describe(df: DataFrame, value: str, digits: int = 6) -> DataFrame:

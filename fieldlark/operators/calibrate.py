@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _place(seed: int, keys: list[str]) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
+    """60 bits of the MD5 of seed and keys, which any engine can compute."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))), 1, 15), 16, 10).cast("long")
 
 
 def seeded_split(df: DataFrame, seed: int, keys: list[str], share: float = 0.25) -> DataFrame:
@@ -19,7 +20,7 @@ def seeded_split(df: DataFrame, seed: int, keys: list[str], share: float = 0.25)
     """
     from pyspark.sql import Window
 
-    rows = df.withColumn("_h", _place(seed, keys)).withColumn("_range", F.shiftright("_h", 52))
+    rows = df.withColumn("_h", _place(seed, keys)).withColumn("_range", F.shiftright("_h", 48))
     ranges = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_range"))
     total = F.sum("_n").over(Window.partitionBy(F.lit(1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fieldlark.functions.scalars import clipped, minutes_between, rounded, seconds_between
+from fieldlark.operators.aggregates import quantiles
 from fieldlark.operators.series import running_max
 from fieldlark.session import dimension
 
@@ -45,7 +46,10 @@ def staleness(published: DataFrame, contract: DataFrame, sample_s: float) -> Dat
 
 def lag_by_mode(published: DataFrame) -> DataFrame:
     """(is_historical, n, percent, median_lag_min, max_lag_min): replayed against live rows."""
-    out = with_lag(published).groupBy("is_historical").agg(F.count("*").alias("n"), (F.median("lag_s") / 60).alias("median_lag_min"), (F.max("lag_s") / 60).alias("max_lag_min"))
+    rows = with_lag(published)
+    out = rows.groupBy("is_historical").agg(F.count("*").alias("n"), (F.max("lag_s") / 60).alias("max_lag_min"))
+    middle = quantiles(rows, "lag_s", (0.5,), keys=("is_historical",)).select(F.col("is_historical").alias("_k"), (F.col("q0") / 60).alias("median_lag_min"))
+    out = out.join(middle, F.col("is_historical").eqNullSafe(F.col("_k")), "left")
     total = published.agg(F.count("*").alias("total"))
     out = out.crossJoin(F.broadcast(total))
     return out.select("is_historical", "n", rounded(100 * F.col("n") / F.col("total"), 2).alias("percent"), rounded(F.col("median_lag_min"), 6).alias("median_lag_min"), rounded(F.col("max_lag_min"), 6).alias("max_lag_min"))

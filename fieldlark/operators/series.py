@@ -39,6 +39,22 @@ def running_max(df: DataFrame, order: str, value: str, name: str, before: bool =
     return df.join(frontier, F.col(order).eqNullSafe(F.col("_order")), "left").drop("_order")
 
 
+def steps(df: DataFrame, key: str, ts: str, block: str = "DAY") -> DataFrame:
+    """``df`` with since_us and step_us: microseconds since the key's first instant, and since the row before (null for the first).
+
+    Blocks of time run side by side; one row a key and block carries the last
+    instant over.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.select("*", F.col(key).alias("_key"), F.date_trunc(block, F.col(ts)).alias("_block"), at.alias("_at"))
+    ends = rows.groupBy("_key", "_block").agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    whole = Window.partitionBy("_key")
+    ends = ends.select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), F.min("_low").over(whole).alias("_first"), F.lag("_high").over(whole.orderBy("_block")).alias("_last"))
+    before = F.lag("_at").over(Window.partitionBy("_key", "_block").orderBy("_at"))
+    out = rows.withColumn("_before", before).join(ends, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return out.select(*df.columns, (F.col("_at") - F.col("_first")).alias("since_us"), (F.col("_at") - F.coalesce("_before", "_last")).alias("step_us"))
+
+
 def grid(df: DataFrame, ts: str, interval: str, chunk: int = 10_000) -> DataFrame:
     """(ts) from the first to the last instant of ``df`` at a fixed interval; nothing for an empty table.
 

@@ -6,6 +6,7 @@ doubles by ``floor(x * 10^n + 0.5) / 10^n`` on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -63,7 +64,7 @@ def agg01_hourly_avg(spark, sf):
 
 @query(HOURLY)
 def agg02_group_by_all(spark, sf):
-    return catalog.run(spark, "a_hourly_avg_temperature", {"readings": i.readings(spark, sf)}, variable="view")
+    return catalog.run(spark, "a_hourly_avg_temperature", {"readings": i.readings(spark, sf)}, variable="view").withColumnRenamed("avg_temp", "avg_value")
 
 
 MISSING = (
@@ -92,7 +93,18 @@ def agg05_missing_all(spark, sf):
 @query(MISSING + " LIMIT 5")
 def sql_b_missing_intervals(spark, sf):
     sensors, views = _roster_and_views(spark, sf)
-    return catalog.run(spark, "b_missing_intervals", {"sensors": sensors, "readings": views})
+    out = catalog.run(spark, "b_missing_intervals", {"sensors": sensors, "readings": views})
+    return out.selectExpr("sensor_id", "n_expected as expected", "n_samples as received", "n_missing as missing")
+
+
+@query(
+    "WITH r AS (SELECT user_id AS sensor_id, ts FROM events WHERE event_type = 'view'),"
+    " span AS (SELECT CAST(trunc((epoch_us(max(ts)) - epoch_us(min(ts))) / CAST(1e6 AS DOUBLE) / CAST(30 AS DOUBLE)) AS BIGINT) AS expected FROM r)"
+    " SELECT c_custkey AS sensor_id, expected, count(DISTINCT ts) AS received, expected - count(DISTINCT ts) AS missing FROM customer CROSS JOIN span LEFT JOIN r ON sensor_id = c_custkey GROUP BY 1, 2"
+)
+def joi02_whole_roster(spark, sf):
+    """Silent sensors of the whole roster beside those that report."""
+    return agg.missing_intervals(*_roster_and_views(spark, sf), top=None)
 
 
 ROLLING = (
@@ -110,7 +122,8 @@ def win01_rolling_1h(spark, sf):
 
 @query(f"SELECT e.ts, r.* EXCLUDE (event_id) FROM ({ROLLING}) AS r JOIN events AS e USING (event_id)")
 def sql_c_rolling_1h(spark, sf):
-    return catalog.run(spark, "c_rolling_1h_voltage", {"readings": i.readings(spark, sf)}, variable="view")
+    out = catalog.run(spark, "c_rolling_1h_voltage", {"readings": i.readings(spark, sf)}, variable="view")
+    return out.selectExpr("sensor_id", "ts", "voltage_1h_avg as avg_1h", "n_in_window")
 
 
 @query(f"SELECT min(n) AS least, max(n) AS most FROM (SELECT n_in_window AS n FROM ({ROLLING}))")
@@ -128,7 +141,8 @@ def agg06_out_of_range(spark, sf):
 
 @query(OUTSIDE)
 def sql_d_out_of_range(spark, sf):
-    return catalog.run(spark, "d_outside_plausible_range", {"readings": i.readings(spark, sf), "bounds": i.bounds(spark)})
+    out = catalog.run(spark, "d_outside_plausible_range", {"readings": i.readings(spark, sf), "bounds": i.bounds(spark)})
+    return out.selectExpr("variable", "n_readings as n_rows", "n_sensors", "min_value as lowest", "max_value as highest")
 
 
 @query("SELECT user_id AS sensor_id, avg(value) AS mean FROM events WHERE event_type = 'view' GROUP BY 1".replace("avg(value)", _r("avg(value)", 6)))
@@ -605,13 +619,33 @@ def ml01_split_counts(spark, sf):
     return split.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"))
 
 
-@query()
+SPLIT = """s AS (SELECT seed, p_partkey, p_size AS x, p_retailprice AS y,
+        row_number() OVER (PARTITION BY seed ORDER BY CAST('0x' || substr(md5(seed || '|' || p_partkey), 1, 15) AS BIGINT), p_partkey) > count(*) OVER (PARTITION BY seed) - ceil(0.25 * count(*) OVER (PARTITION BY seed)) AS is_test
+    FROM part, (VALUES (0, 0), (1, 0), (2, 1)) AS v(run, seed) WHERE run IN ({runs}) AND p_size IS NOT NULL AND p_retailprice IS NOT NULL)"""
+
+
+@query("WITH " + SPLIT.format(runs="1, 2") + " SELECT seed, p_partkey, is_test FROM s")
+def ml01_split_members(spark, sf):
+    """Which rows are held out, for two seeds."""
+    (parts,) = readers.tables(spark, sf, "part")
+    rows = parts.na.drop(subset=["p_size", "p_retailprice"])
+    one, two = (cal.seeded_split(rows, seed, ["p_partkey"]).select(F.lit(seed).alias("seed"), "p_partkey", "is_test") for seed in (0, 1))
+    return one.union(two)
+
+
+@query(
+    "WITH " + SPLIT.format(runs="1, 2") + f""", l AS (SELECT seed, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM s WHERE NOT is_test GROUP BY 1),
+    e AS (SELECT seed, a, b, y, y - a * x - b AS r FROM s JOIN l USING (seed) WHERE is_test),
+    f AS (SELECT seed, {_r('any_value(a)', 6)} AS slope, {_r('any_value(b)', 6)} AS intercept, {_r('(1 - sum(r * r) / (var_pop(y) * count(y)))', 8)} AS r2 FROM e GROUP BY 1)
+    SELECT * FROM f UNION ALL SELECT * FROM f WHERE seed = 0"""
+)
 def ml03_calibration(spark, sf):
     """Slope, intercept and held-out R squared for three seeds."""
     (parts,) = readers.tables(spark, sf, "part")
     out = None
     for seed in (0, 0, 1):
-        row = cal.calibrate(parts, "p_size", "p_retailprice", ["p_partkey"], seed).withColumn("seed", F.lit(seed))
+        row = cal.calibrate(parts, "p_size", "p_retailprice", ["p_partkey"], seed)
+        row = row.select(F.lit(seed).alias("seed"), *(rounded(F.col(c), n).alias(c) for c, n in (("slope", 6), ("intercept", 6), ("r2", 8))))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -715,14 +749,30 @@ def src13_notebook_cells(spark, sf):
     return readers.notebook_code(spark, path)
 
 
+IN_ORDER = """WITH c AS (SELECT l_orderkey AS notebook, l_linenumber AS cell, CASE WHEN l_quantity < 48 THEN l_linenumber + CAST(l_discount > 0.09 AS INTEGER) END AS ran FROM lineitem),
+    p AS (SELECT *, row_number() OVER (PARTITION BY notebook ORDER BY cell, ran NULLS FIRST) AS place FROM c)
+    SELECT notebook, bool_and(coalesce(ran = place, false)) AS in_order FROM p GROUP BY 1"""
+
+
+@query(IN_ORDER)
+def src13_run_in_order(spark, sf):
+    """Notebooks of an order each; some cells never ran, some ran later."""
+    (lines,) = readers.tables(spark, sf, "lineitem")
+    cells = lines.selectExpr("l_orderkey as notebook", "l_linenumber as cell", "if(l_quantity < 48, l_linenumber + int(l_discount > 0.09), null) as execution_count")
+    return readers.run_in_order(cells, "notebook")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def snk01_rebuilt_table(spark, sf):
     """A table that a statement creates and another fills; an older one of the name goes."""
     (events,) = readers.tables(spark, sf, "events")
-    spark.sql("DROP TABLE IF EXISTS fieldlark_events")
-    spark.sql(f"CREATE TABLE fieldlark_events (event_id BIGINT, event_type STRING) USING parquet LOCATION '{scratch(spark, 'table')}'")
-    events.select("event_id", "event_type").write.insertInto("fieldlark_events")
-    return spark.table("fieldlark_events").groupBy("event_type").agg(F.count("*").alias("n"))
+    name = f"fieldlark_{uuid.uuid4().hex}"
+    try:
+        writers.rebuild(spark.createDataFrame([(1, "old")], "id int, event_type string"), name)
+        writers.rebuild(events.select("event_id", "event_type"), name)
+        return written(spark.table(name).groupBy("event_type").agg(F.count("*").alias("n")))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS value FROM events ORDER BY event_id LIMIT 50")
@@ -751,7 +801,8 @@ def agg03_global_range(spark, sf):
 @query(STALE + f", k AS (SELECT tag, (epoch_us(server_time) - epoch_us(event_time)) / CAST(1e6 AS DOUBLE) AS lag_s FROM kept) SELECT tag, max(lag_s) AS max_lag_s, {_r('median(lag_s)', 3)} AS median_lag_s, {_r('stddev_samp(lag_s)', 3)} AS std_lag_s FROM k GROUP BY 1")
 def agg15_lag_by_tag(spark, sf):
     lag = lateness.with_lag(_kept(spark, sf))
-    return lag.groupBy("tag").agg(F.max("lag_s").alias("max_lag_s"), rounded(F.median("lag_s"), 3).alias("median_lag_s"), rounded(F.stddev_samp("lag_s"), 3).alias("std_lag_s"))
+    out = lag.groupBy("tag").agg(F.max("lag_s").alias("max_lag_s"), rounded(F.stddev_samp("lag_s"), 3).alias("std_lag_s"))
+    return out.join(agg.quantiles(lag, "lag_s", (0.5,), keys=("tag",)), "tag", "left").select("tag", "max_lag_s", rounded(F.col("q0"), 3).alias("median_lag_s"), "std_lag_s")
 
 
 @query("SELECT user_id AS sensor_id, max_by(event_id, ts) AS newest FROM events GROUP BY 1")
@@ -769,12 +820,17 @@ def set04_union_of_distinct(spark, sf):
 @query(f"SELECT event_id, {_r('((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type)) / CAST(3.6e9 AS DOUBLE))', 6)} AS hours, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS step_us FROM events WHERE event_id > 0 QUALIFY step_us IS NOT NULL")
 def win07_elapsed_and_steps(spark, sf):
     """Hours since the first sample of the type, and the microseconds since the one before."""
-    from pyspark.sql import Window
+    (events,) = readers.tables(spark, sf, "events")
+    rows = series.steps(events.where("event_id > 0").select("event_id", "event_type", "ts"), "event_type", "ts").where("step_us is not null")
+    return rows.select("event_id", rounded(F.col("since_us") / F.lit(3.6e9), 6).alias("hours"), "step_us")
+
 
+@query(f"SELECT event_id, {_r('((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / CAST(3.6e9 AS DOUBLE))', 6)} AS hours, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS step_us FROM events QUALIFY step_us IS NOT NULL")
+def win08_steps_by_sensor(spark, sf):
+    """The same for each sensor, first row of the table included."""
     (events,) = readers.tables(spark, sf, "events")
-    us, by = F.unix_micros(utc(F.col("ts"))), Window.partitionBy("event_type")
-    rows = events.where("event_id > 0").select("event_id", rounded((us - F.min(us).over(by)) / F.lit(3.6e9), 6).alias("hours"), (us - F.lag(us).over(by.orderBy("ts"))).alias("step_us"))
-    return rows.where("step_us is not null")
+    rows = series.steps(events.select("event_id", "user_id", "ts"), "user_id", "ts").where("step_us is not null")
+    return rows.select("event_id", rounded(F.col("since_us") / F.lit(3.6e9), 6).alias("hours"), "step_us")
 
 
 @query("SELECT 'partition filter on date' AS name, true AS seen UNION ALL SELECT 'pushed filter on sensor_id', true UNION ALL SELECT 'only asked columns read', true")

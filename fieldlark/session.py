@@ -32,10 +32,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests on one machine."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset a temporary one, for a session of one process alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        app = spark.sparkContext.applicationId
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="fieldlark-shared-")
         named = _own_dirs[app]

@@ -107,10 +107,15 @@ def notebook_code(spark: SparkSession, path: str) -> DataFrame:
     return code.select("cell", F.col("c.execution_count").alias("execution_count"), F.array_join("c.source", "").alias("code"))
 
 
-def run_in_order(cells: DataFrame) -> DataFrame:
-    """(in_order): whether the cells that ran have counts 1..n in their order."""
-    ran = cells.where("execution_count is not null")
-    return ran.agg((F.transform(F.sort_array(F.collect_list(F.struct("cell", "execution_count"))), lambda x: x["execution_count"]) == F.sequence(F.lit(1), F.count("*").cast("int"))).alias("in_order"))
+def run_in_order(cells: DataFrame, *keys: str) -> DataFrame:
+    """(keys, in_order): whether a notebook's code cells, all of them, have counts 1..n in their order.
+
+    A cell that never ran is not in order. Without a cell there is no row if
+    ``keys`` name notebooks, else null. A notebook's cells meet in one row.
+    """
+    counts = F.sort_array(F.collect_list(F.struct("cell", "execution_count")))
+    right = F.forall(F.transform(counts, lambda x, i: x["execution_count"].eqNullSafe(i + 1)), lambda ok: ok)
+    return cells.groupBy(*keys).agg(F.when(F.count("*") > 0, right).alias("in_order"))
 
 
 def head(df: DataFrame, n: int, *order: str | Column) -> DataFrame:

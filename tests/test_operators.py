@@ -219,3 +219,31 @@ def test_missing_intervals(spark):
     rows = [(1, t0 + dt.timedelta(seconds=s)) for s in (0, 30, 30, 100)]
     got = agg.missing_intervals(spark.createDataFrame([(1,), (2,)], "sensor_id int"), spark.createDataFrame(rows, "sensor_id int, ts timestamp"))
     assert [tuple(r) for r in got.collect()] == [(2, 3, 0, 3), (1, 3, 3, 0)]
+
+
+def test_quantiles_by_key(spark):
+    import numpy as np
+
+    from fieldlark.operators import aggregates as agg
+
+    rng = np.random.default_rng(3)
+    rows = [(k, None if rng.random() < 0.05 else float(v)) for k, n in (("a", 400), (None, 31), ("b", 2), ("c", 1)) for v in rng.integers(0, 60, n)]
+    got = {r["key"]: r for r in agg.quantiles(spark.createDataFrame(rows + [("d", None)], "key string, v double"), "v", (0.5, 0.9), blocks=8, keys=("key",)).collect()}
+    assert set(got) == {k for k, v in rows if v is not None}
+    for k, r in got.items():
+        own = [v for x, v in rows if x == k and v is not None]
+        assert abs(r["q0"] - np.quantile(own, 0.5)) < 1e-9 and abs(r["q1"] - np.quantile(own, 0.9)) < 1e-9
+
+
+def test_steps_cross_blocks(spark):
+    import datetime as dt
+
+    from fieldlark.operators import series
+
+    t0 = dt.datetime(2024, 1, 1, 23, 59)
+    at = [t0 + dt.timedelta(minutes=m) for m in (0, 2, 2, 3000, 9000)]
+    rows = [("a", t) for t in at] + [("b", at[3]), (None, at[0]), (None, at[4])]
+    got = sorted(((r["k"] or "", r["t"], r["since_us"], r["step_us"]) for r in series.steps(spark.createDataFrame(rows, "k string, t timestamp_ntz"), "k", "t").collect()), key=lambda r: (r[0], r[1], r[3] != 120_000_000))
+    m = 60_000_000
+    assert [(x[0], x[2], x[3]) for x in got] == [("", 0, None), ("", 9000 * m, 9000 * m), ("a", 0, None), ("a", 2 * m, 2 * m), ("a", 2 * m, 0), ("a", 3000 * m, 2998 * m), ("a", 9000 * m, 6000 * m), ("b", 0, None)]
+    assert series.steps(spark.createDataFrame([], "k string, t timestamp_ntz"), "k", "t").collect() == []

@@ -127,6 +127,14 @@ def test_notebook(spark, tmp_path):
     assert readers.run_in_order(got.where("execution_count = 2")).first()[0] is False
 
 
+def test_run_in_order_counts_every_code_cell(spark):
+    cells = [("all", 0, 1), ("all", 4, 2), ("unrun", 0, 1), ("unrun", 1, None), ("late", 0, 2), ("late", 1, 1), ("gap", 0, 1), ("gap", 1, 3)]
+    df = spark.createDataFrame(cells, "notebook string, cell int, execution_count int")
+    assert {r["notebook"]: r["in_order"] for r in readers.run_in_order(df, "notebook").collect()} == {"all": True, "unrun": False, "late": False, "gap": False}
+    assert readers.run_in_order(df.where("notebook = 'all'")).first()[0] is True
+    assert readers.run_in_order(df.where("false")).first()[0] is None
+
+
 def test_partitioned_tree(spark, tmp_path):
     rows = spark.sql("SELECT cast(id % 9 AS int) AS sensor_id, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS ts, id AS v FROM range(100)")
     for _ in range(2):  # the second replaces the first
