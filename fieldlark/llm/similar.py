@@ -8,9 +8,9 @@ shingle sets.
 
 Texts of a block are held against one of them, its hub, first, so a large group
 of copies of one text costs as much as its members. Texts that this leaves
-apart are compared if they can still be alike: with the shingles that the hub
-lacks in front, two texts at 0.8 have their first common shingle near the front
-of both, and enough shingles behind it. Copies with changes of their own are so
+apart are compared if they can still be alike: with the shingles in front that
+neither the hub nor many others have, two texts at 0.8 have their first common
+shingle near the front of both, and enough shingles behind it. Copies with changes of their own are so
 told apart without being paired. No block is capped.
 """
 
@@ -94,16 +94,26 @@ def _hubs(shared: DataFrame) -> DataFrame:
 
 
 def _against_hubs(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """``stars`` (key, hub) with sizes n and m, ``both`` (shared shingles) and ``front``.
+    """``stars`` (key, hub) with sizes n and m, ``both`` (shared shingles), and ``lacks``: of what the hub lacks, as much as a front takes."""
+    rows = _with_sets(stars, sets, "key", "hub")
+    both, lacks = F.size(F.array_intersect("ga", "gb")), F.array_except("ga", "gb")
+    return rows.select("key", "hub", F.size("ga").alias("n"), F.size("gb").alias("m"), both.alias("both"), F.slice(lacks, 1, F.expr("size(ga) div 5 + 1")).alias("lacks"))
+
 
-    ``front`` is the beginning of the text's shingles, those that the hub lacks
-    before the others and each part in order, as far as the first one common
-    with a text at 0.8 can lie.
+def _fronts(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (key, hub, n, root, least, members, lacks) with ``front`` for the last two.
+
+    A front is the beginning of a text's shingles, as far as the first one
+    common with a text at 0.8 can lie. Those that the hub and most others have
+    come last, each part in one order: ``often`` holds what the hub lacks but an
+    eighth of its texts have, at most eight fronts of shingles.
     """
-    rows = _with_sets(stars, sets, "key", "hub")
-    common, own = F.array_intersect("ga", "gb"), F.array_except("ga", "gb")
-    rows = rows.select("key", "hub", F.size("ga").alias("n"), F.size("gb").alias("m"), F.size(common).alias("both"), F.concat(own, common).alias("grams"))
-    return rows.select("key", "hub", "n", "m", "both", F.expr("slice(grams, 1, n div 5 + 1)").alias("front"))
+    often = rows.select("hub", "members", F.explode("lacks").alias("gram")).groupBy("hub", "gram").agg(F.count("*").alias("c"), F.max("members").alias("members"))
+    often = kept(often.where("c > 1 and 8 * c >= members").groupBy("hub").agg(F.collect_list("gram").alias("often")))
+    rows = _with_sets(rows.select("key", "hub", "n", "root", "least"), sets, "key", "hub").join(often.hint("merge"), "hub", "left")
+    shared = F.concat("gb", F.coalesce("often", F.array().cast("array<bigint>")))
+    ordered = F.concat(F.array_except("ga", shared), F.array_intersect("ga", shared))
+    return rows.select("key", "hub", "n", "root", "least", F.slice(ordered, 1, F.expr("n div 5 + 1")).alias("front"))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -118,13 +128,14 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return kept(rows.join(kept(of.where("low <> high").select("slot")).hint("merge"), "slot"))
 
 
-def _slots(met: DataFrame, roots: DataFrame) -> DataFrame:
+def _slots(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """(slot, key, n, root, at): where the fronts of texts of one hub, but unlike components, meet."""
-    placed = kept(_rooted(met.select("key", "hub", "n", "front"), roots))
-    hubs = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"))
-    hubs = kept(hubs.where("low <> high").select("hub", "least"))
+    placed = kept(_rooted(met.select("key", "hub", "n", "lacks"), roots))
+    hubs = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"), F.count("*").alias("members"))
+    hubs = kept(hubs.where("low <> high").select("hub", "least", "members"))
+    rows = kept(_fronts(kept(placed.join(hubs.hint("merge"), "hub")), sets))
     # Of n and m shingles 4/9 (n + m) must be common, none before ``at``; the other text has at least ``least``.
-    rows = placed.join(hubs.hint("merge"), "hub").select("key", "hub", "n", "root", "least", F.posexplode("front").alias("at", "gram"))
+    rows = rows.select("key", "hub", "n", "root", "least", F.posexplode("front").alias("at", "gram"))
     rows = rows.where("4 * (n + greatest(least, ceil(0.8 * n))) <= 9 * (n - at)")
     return _mixed(rows.select(F.xxhash64("hub", "gram").alias("slot"), "key", "n", "root", "at"))
 
@@ -197,7 +208,7 @@ def similar_texts(docs: DataFrame, index: Callable[[DataFrame], DataFrame]) -> D
     sure = met.where("9 * both >= 4 * (n + m)").select(F.col("key").alias("a"), F.col("hub").alias("b"))
 
     roots = kept(connected_components(sure))
-    rows = _slots(met, roots)
+    rows = _slots(met, roots, sets)
     if not rows.isEmpty():
         roots = kept(_linked(roots, _alike(kept(_to_first(rows)), sets)))
         rows = _mixed(_rooted(rows.drop("root"), roots))

@@ -70,26 +70,26 @@ def test_all_links_and_no_others(spark, seed, with_base, size):
     assert {frozenset(g) for g in got.values()} == closed(texts)
 
 
-def test_pairs_do_not_grow_with_the_square(spark):
-    """Copies too far from their text to link are as far from each other: hardly a pair is made."""
+@pytest.mark.parametrize("with_base", [True, False])
+def test_pairs_do_not_grow_with_the_square(spark, with_base, monkeypatch):
+    """Copies too far from their text to link are as far from each other: few pairs are made beside those with the hub."""
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in range(150)]
-    texts = [" ".join(base)] + [" ".join(edited(rng, base, int(rng.integers(1, 9)), "replace")) for _ in range(800)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    texts = [" ".join(base)] * with_base + [" ".join(edited(rng, base, int(rng.integers(1, 9)), "replace")) for _ in range(800)]
     made = []
-    plain = similar._apart
-
-    def counted(*args):
-        out = plain(*args)
-        made.append(out.count())
-        return out
-
-    similar._apart = counted
-    try:
-        n = similar.similar_texts(df, simhash_dedup.links).count()
-    finally:
-        similar._apart = plain
-    assert n > 200 and made[0] < 2 * len(texts)
+
+    def counted(plain):
+        def run(*args):
+            out = plain(*args)
+            made.append(out.count())
+            return out
+
+        return run
+
+    for name in ("_to_first", "_apart"):
+        monkeypatch.setattr(similar, name, counted(getattr(similar, name)))
+    n = similar.similar_texts(spark.createDataFrame([(t,) for t in texts], "text string"), simhash_dedup.links).count()
+    assert n > 200 and sum(made) < 4 * len(texts)
 
 
 def test_odd_texts(spark):
