@@ -8,7 +8,9 @@ that share, and last the remaining lists resolve their scores exactly.
 
 Equal vectors form one class, kept with as many of their smallest ids as a
 query can return, so copies cost nothing. Queries and classes meet in bounded
-blocks, never all in one task and never by broadcast.
+blocks, never all in one task and never by broadcast, as vectors of the
+narrowest integers that hold every component. The cutoffs, one number a query,
+are broadcast up to a checked count and joined by shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldlark.llm.common import kept
+from fieldlark.session import dimension
 
 K = 20
 LISTS = 2
@@ -32,8 +35,15 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double")).cast("long")).alias("v"))
 
 
+def _narrow(rows: DataFrame) -> DataFrame:
+    """``rows`` with v in the narrowest integers that hold its least and greatest component."""
+    low, high = rows.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    kind = next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if -(2**bits) <= (low or 0) and (high or 0) < 2**bits)
+    return rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+
+
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Vectors as rows, short ones filled with zeros; doubles where products stay exact, else integers."""
+    """Vectors as rows, short ones filled with zeros."""
     column = column.combine_chunks()
     n = np.diff(column.offsets.to_numpy())
     flat = column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()]
@@ -43,10 +53,13 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _blocks(queries: pa.Table, classes: pa.Table) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """Queries, classes and the lists' columns; floats where all sums of products stay exact, else integers."""
     width = max([1, *(int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max()) for t in (queries, classes))])
     q, c = _matrix(queries.column("v"), width), _matrix(classes.column("v"), width)
-    if float(np.abs(q).max()) * float(np.abs(c).max()) * width < 2**53:
-        q, c = q.astype(np.float64), c.astype(np.float64)
+    most = float(np.abs(q).max()) * float(np.abs(c).max()) * width
+    if most < 2**53:
+        kind = np.float32 if most < 2**24 else np.float64
+        q, c = q.astype(kind), c.astype(kind)
     step = -(-width // LISTS)
     return q, c, [slice(i, i + step) for i in range(0, width, step)]
 
@@ -131,7 +144,7 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     unlike lengths compare as if the shorter ended in zeros. An empty table
     gives an empty result; extra columns are not read.
     """
-    rows = kept(quantised(embeddings).distinct())
+    rows = _narrow(kept(quantised(embeddings).distinct()))
     least = Window.partitionBy("v").orderBy("vec_id")
     classes = rows.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
     classes = kept(classes.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
@@ -148,9 +161,9 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     heads = queries.withColumn("chunk", spread).groupBy(*meet).cogroup(classes.groupBy(*meet)).applyInArrow(_first(share), "query_id long, query_key long, score long")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"))
     cut = heads.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("query_id", "query_key").agg(F.min("score").alias("cutoff"), F.count("*").alias("_n"))
-    cut = cut.select(F.col("query_id").alias("vec_id"), "query_key", F.when(F.col("_n") == k, F.col("cutoff")).alias("cutoff"))
+    cut = kept(cut.select(F.col("query_id").alias("vec_id"), "query_key", F.when(F.col("_n") == k, F.col("cutoff")).alias("cutoff")))
 
-    known = queries.join(cut, ["vec_id", "query_key"], "left").withColumn("chunk", spread)
+    known = queries.join(dimension(cut), ["vec_id", "query_key"], "left").withColumn("chunk", spread)
     found = known.groupBy(*meet).cogroup(classes.groupBy(*meet)).applyInArrow(_second(k), "query_id long, query_key long, vec_id long, score long")
     last = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)

@@ -50,3 +50,17 @@ def test_few_and_none(spark):
 def test_large_components_stay_exact(spark):
     rng = np.random.default_rng(3)
     check(spark, [(i, (rng.normal(size=4) * 1e6).tolist()) for i in range(40)])
+
+
+@pytest.mark.parametrize("most, kind", [(1.9, "tinyint"), (2.0, "smallint"), (511.9, "smallint"), (512.0, "int"), (2.0**25, "bigint")])
+def test_components_travel_in_the_narrowest_integers(spark, most, kind):
+    rows = [(i, [most, -(i % 7) / 4, 0.5]) for i in range(30)]
+    found = t._narrow(t.quantised(spark.createDataFrame(rows, SCHEMA)))
+    assert found.schema["v"].dataType.elementType.simpleString() == kind
+    check(spark, rows)
+
+
+def test_cutoffs_beyond_the_broadcast_count(spark, monkeypatch):
+    monkeypatch.setattr(t, "dimension", lambda df: df)
+    rng = np.random.default_rng(7)
+    check(spark, [(i, rng.normal(size=6).tolist()) for i in range(100)])
