@@ -60,5 +60,5 @@ def test_missing_reports_the_whole_roster(spark):
     got = core.QUERIES["agg05_missing_all"](spark, sf).collect()
     assert sorted((r["sensor_id"], r["received"]) for r in got) == sorted(want) and len(got) > 159
     first = [r["sensor_id"] for r in sorted(got, key=lambda r: (-r["missing"], r["sensor_id"]))[:5]]
-    for name in ("agg05_missing_intervals", "sql_b_missing_intervals"):
+    for name in ("agg05_missing_intervals", "sql_b_missing_intervals", "joi02_most_missing", "sql_b_whole_roster"):
         assert sorted(r["sensor_id"] for r in core.QUERIES[name](spark, sf).collect()) == sorted(first)
