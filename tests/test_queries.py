@@ -62,3 +62,15 @@ def test_missing_reports_the_whole_roster(spark):
     first = [r["sensor_id"] for r in sorted(got, key=lambda r: (-r["missing"], r["sensor_id"]))[:5]]
     for name in ("agg05_missing_intervals", "sql_b_missing_intervals", "joi02_most_missing", "sql_b_whole_roster"):
         assert sorted(r["sensor_id"] for r in core.QUERIES[name](spark, sf).collect()) == sorted(first)
+
+
+def test_repeated_keys_past_65536(spark, tmp_path):
+    """Event ids that agree modulo 1000 repeat a key (1, 2), those that agree modulo 65536 alone do not (464, 66000)."""
+    ids = "(VALUES (1, 1), (66001, 1), (2, 1), (66002, 1), (464, 2), (66000, 2)) AS v(event_id, user_id)"
+    columns = "CAST(event_id AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' + to_seconds(event_id) AS ts, CAST(user_id AS BIGINT) AS user_id, 'view' AS event_type, 1.5::DOUBLE AS value, '{}' AS props"
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT {columns} FROM {ids}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = core.QUERIES["val14_constraints"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.sql(core.ORACLES["val14_constraints"]).df())
+    assert got.set_index("name")["n"]["repeated keys"] == 8
