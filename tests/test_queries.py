@@ -74,3 +74,13 @@ def test_repeated_keys_past_65536(spark, tmp_path):
     got = core.QUERIES["val14_constraints"](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(con.sql(core.ORACLES["val14_constraints"]).df())
     assert got.set_index("name")["n"]["repeated keys"] == 8
+
+
+def test_missing_differs_from_its_sql_by_the_roster_alone(spark):
+    """Rows of the ids that the SQL keeps (c_custkey < 160) are those of the SQL, past the size where all are."""
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("customer", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = core.QUERIES["agg05_missing_all"](spark, sf).where("sensor_id < 160").toPandas()
+    assert rows(got) == rows(con.sql(core.ORACLES["agg05_missing_all"]).df())
