@@ -84,3 +84,17 @@ def test_missing_differs_from_its_sql_by_the_roster_alone(spark):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = core.QUERIES["agg05_missing_all"](spark, sf).where("sensor_id < 160").toPandas()
     assert rows(got) == rows(con.sql(core.ORACLES["agg05_missing_all"]).df())
+
+
+@pytest.mark.parametrize("name", ["agg05_missing_intervals", "joi02_most_missing"])
+def test_customers_without_a_key_come_last_among_ties(spark, tmp_path, name):
+    """All ids are below 160 and seven sensors are silent, so the top five are those of the SQL."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT CAST(c AS BIGINT) AS c_custkey FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (NULL), (NULL)) AS t(c)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    columns = "range AS event_id, TIMESTAMP '2024-01-01' + to_seconds(range * 31) AS ts, range % 2 AS user_id, 'view' AS event_type, 1.5::DOUBLE AS value, '{}' AS props"
+    con.sql(f"COPY (SELECT {columns} FROM range(20)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for t in ("customer", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = core.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(core.ORACLES[name]).df()
+    assert got["sensor_id"].tolist() == want["sensor_id"].tolist() == [2, 3, 4, 5, 6]
+    assert rows(got) == rows(want)
