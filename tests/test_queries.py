@@ -98,3 +98,21 @@ def test_customers_without_a_key_come_last_among_ties(spark, tmp_path, name):
     got, want = core.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(core.ORACLES[name]).df()
     assert got["sensor_id"].tolist() == want["sensor_id"].tolist() == [2, 3, 4, 5, 6]
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("keys, top", [([0, 1, 2, 3, 4, 5, 6, 7, 8, None, None], [2, 3, 4, 5, 6]), ([0, None, 2, None, 1], [2, None, None, 1, 0])])
+def test_named_sql_puts_customers_without_a_key_last_among_ties(spark, tmp_path, keys, top):
+    """Sensors 0 and 1 report, and so do views without a sensor, which are no customer's."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT CAST(c AS BIGINT) AS c_custkey FROM (VALUES {', '.join(f'({k})' for k in keys).replace('None', 'NULL')}) AS t(c)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    columns = "range AS event_id, TIMESTAMP '2024-01-01' + to_seconds(range * 31) AS ts, CASE WHEN range % 4 < 3 THEN range % 2 END AS user_id, 'view' AS event_type, 1.5::DOUBLE AS value, '{}' AS props"
+    con.sql(f"COPY (SELECT {columns} FROM range(20)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for t in ("customer", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = core.QUERIES["agg05_missing_intervals"](spark, str(tmp_path))
+    for name in ("sql_b_missing_intervals", "sql_b_whole_roster"):
+        got = core.QUERIES[name](spark, str(tmp_path))
+        assert [r["sensor_id"] for r in got.collect()] == top
+        assert got.select(want.columns).collect() == want.collect() and dict(got.dtypes) == dict(want.dtypes)
+        if None not in top:
+            assert rows(got.toPandas()) == rows(con.sql(core.ORACLES[name]).df())
